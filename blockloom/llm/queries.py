@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockloom.llm import exact_dedup, langid, mixing, packing, token_count
+from blockloom.llm import exact_dedup, kneser_ney, langid, mixing, packing, token_count
 from blockloom.llm.common import bucket_of, table
 
 
@@ -41,12 +41,27 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = kneser_ney.train(docs, bucket_of("doc_id", 10) != 0)
+    return kneser_ney.score(docs, model).select(
+        "doc_id",
+        (bucket_of("doc_id", 10) == 0).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(model["tokens"]).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
+
+
 QUERIES = {
     "op1_langid": op1_langid,
     "op3_mix_sources": op3_mix_sources,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_packing": op7_packing,
+    "op10_lm_score": op10_lm_score,
 }
 
 ORACLE_SQL = {
