@@ -49,7 +49,8 @@ def exact_dedup(
         F.expr(f"approx_top_k_accumulate(text_sha256, {tracked})").alias("s")
     )
     candidates = (
-        sketches.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(s, {tracked}), {tracked_top})").alias("top"))
+        sketches.groupBy((F.col("part") * 0).alias("all"))  # grouped: an empty partition has no sketch to serialise
+        .agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(s, {tracked}), {tracked_top})").alias("top"))
         .select(F.explode("top").alias("t"))
         .filter(F.col("t.count") >= max(16, total // (4 * tracked)))
         .select(F.col("t.item").alias("text_sha256"))
