@@ -50,6 +50,8 @@ def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
 
 def by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(shard, positions in their given order) of each shard that occurs."""
+    if len(shard) and shard.min() >= -1 and shard.max() < 32_000:
+        shard = shard.astype(np.int16)  # sorted by radix
     order = np.argsort(shard, kind="stable")
     cuts = np.flatnonzero(np.r_[True, shard[order][1:] != shard[order][:-1]]) if len(order) else np.zeros(0, dtype=int)
     for at in np.split(order, cuts[1:]) if len(order) else []:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockloom.llm import exact_dedup, kneser_ney, langid, mixing, packing, token_count
+from blockloom.llm import exact_dedup, kneser_ney, langid, mixing, packing, shingle_join, token_count
 from blockloom.llm.common import bucket_of, table
 
 
@@ -41,6 +41,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op9_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = kneser_ney.train(docs, bucket_of("doc_id", 10) != 0)
@@ -61,6 +65,7 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_packing": op7_packing,
+    "op9_shingle_join": op9_shingle_join,
     "op10_lm_score": op10_lm_score,
 }
 
