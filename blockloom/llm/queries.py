@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockloom.llm import exact_dedup, kneser_ney, langid, mixing, packing, shingle_join, token_count
+from blockloom.llm import exact_dedup, kneser_ney, langid, mixing, packing, shingle_join, token_count, vptree
 from blockloom.llm.common import bucket_of, table
 
 
@@ -41,6 +41,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, factor=1.1)
+
+
 def op9_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -65,6 +69,7 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_packing": op7_packing,
+    "op8_nearest": op8_nearest,
     "op9_shingle_join": op9_shingle_join,
     "op10_lm_score": op10_lm_score,
 }
