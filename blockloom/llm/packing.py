@@ -9,8 +9,11 @@ leaves count the open windows with that capacity, finds it.
 
 from __future__ import annotations
 
+import gc
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pandas as pd
@@ -76,29 +79,44 @@ def best_fit_decreasing(lengths: list[int], window: int) -> tuple[list[int], lis
 class WordTokens:
     """Token ids of texts, a white-space separated word at a time.
 
-    The vocabulary drops white space and never joins across it, so a text's ids
-    are its words' ids in order.  Only words not seen lately are encoded.
+    The vocabulary drops white space, never joins across it and folds case, so
+    a lower-cased text's ids are its words' ids in order.  A full stop or comma
+    between a letter and white space is a word of its own to the vocabulary, so
+    it is cut off first.  Words seen lately are remembered in two generations;
+    the older one goes when the younger is full.
     """
 
-    def __init__(self, tokenizer_file: str, remembered: int = 300_000):
+    STOP = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\x09-\x0D])")
+
+    def __init__(self, tokenizer_file: str, remembered: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.remembered = remembered
-        self.known: dict[bytes, bytes] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def learn(self, words: list[bytes]) -> None:
+        for start in range(0, len(words), 20_000):
+            part = words[start : start + 20_000]
+            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
+            ids = [e.ids for e in found]
+            flat = np.fromiter(chain.from_iterable(ids), dtype="<u4").tobytes()
+            cuts = [0, *accumulate(4 * len(i) for i in ids)]
+            self.young.update((w, flat[i:j]) for w, i, j in zip(part, cuts, cuts[1:], strict=False))
 
     def encode(self, texts: list[str], last: int) -> list[np.ndarray]:
-        words = [t.encode("utf-8", "replace").split() for t in texts]
-        missing = set().union(*words).difference(self.known)
-        if len(self.known) + len(missing) > self.remembered:
-            self.known.clear()
-            missing = set().union(*words)
-        todo = list(missing)
-        for start in range(0, len(todo), 20_000):
-            part = todo[start : start + 20_000]
-            found = self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(part, found, strict=True))
-        get, end = self.known.__getitem__, np.array([last], dtype="<u4").tobytes()
+        words = [self.STOP.sub(rb" \1", t.encode("utf-8", "replace").lower()).split() for t in texts]
+        every = set().union(*words)
+        if len(self.young) > self.remembered:
+            self.old, self.young = self.young, {}
+        missing = every.difference(self.young)
+        if self.old:
+            again = missing.intersection(self.old)
+            self.young.update((w, self.old[w]) for w in again)
+            missing -= again
+        self.learn(list(missing))
+        get, end = self.young.__getitem__, np.array([last], dtype="<u4").tobytes()
         return [np.frombuffer(b"".join(map(get, w)) + end, dtype="<u4") for w in words]
 
 
@@ -114,9 +132,10 @@ def cut_documents(docs: DataFrame, tokenizer_file: str, window: int, end_id: int
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokens = _TOKENS.setdefault(tokenizer_file, None) or WordTokens(tokenizer_file)
         _TOKENS[tokenizer_file] = tokens
+        gc.disable()  # the lists of words and pieces hold no cycles
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for begin, end in text_slices(texts):
+            for begin, end in text_slices(texts, 6_000_000):
                 row, start, length, crc, total = [], [], [], [], []
                 for k, ids in enumerate(tokens.encode(texts[begin:end], end_id), begin):
                     for at in range(0, len(ids), window):
@@ -129,6 +148,7 @@ def cut_documents(docs: DataFrame, tokenizer_file: str, window: int, end_id: int
                 columns = [batch.column("id").take(pa.array(row))]
                 columns += [pa.array(x, pa.int64()) for x in (start, length, crc, total)]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "start", "length", "ids_crc32", "doc_tokens"])
+        gc.enable()
 
     ids = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
