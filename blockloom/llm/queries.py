@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockloom.llm import exact_dedup, kneser_ney, langid, mixing, packing, shingle_join, token_count, vptree
+from blockloom.llm import exact_dedup, html_extract, kneser_ney, langid, mixing, packing, shingle_join, token_count, toxicity, vptree
 from blockloom.llm.common import bucket_of, table
 
 
@@ -23,6 +23,20 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"), F.col("lang_margin").alias("margin"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").filter(bucket_of("doc_id", 5) != 0)
+    found = toxicity.score(docs, toxicity.train(docs, labels))
+    return found.select(
+        "doc_id",
+        (bucket_of("doc_id", 5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "evidence_ids",
+        "evidence_cosines",
+    )
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
@@ -33,6 +47,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract(pages)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -65,8 +84,10 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_langid": op1_langid,
+    "op2_toxicity": op2_toxicity,
     "op3_mix_sources": op3_mix_sources,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_html_extract": op5_html_extract,
     "op6_token_counts": op6_token_counts,
     "op7_packing": op7_packing,
     "op8_nearest": op8_nearest,
