@@ -33,6 +33,7 @@ END = b" end"  # no word holds a space
 UNSEEN = (1 << 32) - 1
 START = (1 << 32) - 2
 MOST_SHARDS = 8192
+PENDING = 1_500_000  # tokens that a task gathers before it sends their pairs
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -148,7 +149,7 @@ def added_up(found: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
 def train(docs: DataFrame, learn_from: Column, text_col: str = "text") -> dict:
     """Count the rows of ``docs`` for which ``learn_from`` is true; returns the model's description.
 
-    The number of shards follows the number of input partitions.  What comes to
+    The number of shards follows the number of input partitions, up to a bound.  What comes to
     the driver is a few numbers a shard and at most four words a shard that are
     frequent enough to split.  A null text has its end as only token; without
     any row, or with empty tables, the model gives every token the uniform share.
@@ -157,7 +158,7 @@ def train(docs: DataFrame, learn_from: Column, text_col: str = "text") -> dict:
     scratch = Scratch(spark, "lm")
     folder = local_path(scratch.path("model"))
     texts = docs.filter(learn_from).select(F.col(text_col).alias("text"))
-    shards = min(MOST_SHARDS, max(4, texts.rdd.getNumPartitions()))
+    shards = min(MOST_SHARDS, max(4, 4 * texts.rdd.getNumPartitions()))
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[bytes] = Counter()
@@ -172,10 +173,11 @@ def train(docs: DataFrame, learn_from: Column, text_col: str = "text") -> dict:
             seen[END] += batch.num_rows
             for text in batch.column("text"):
                 seen.update(words_of(text.as_py()))
-                if len(seen) > 500_000:
+                if len(seen) > 400_000:
                     yield from out()
         if seen:
             yield from out()
+        pa.default_memory_pool().release_unused()
 
     def write_words(found: pa.Table) -> pa.Table:
         shard, keys, counts = added_up(found)
@@ -201,23 +203,24 @@ def train(docs: DataFrame, learn_from: Column, text_col: str = "text") -> dict:
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Vocabulary(folder, sizes)
         pending: list[np.ndarray] = []
-        keys, counts, waiting = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), 0
+        waiting = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            keys, counts = tally(np.concatenate(pending))
+            pending.clear()
+            yield from sharded(keys, counts, place(keys))
+
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for start, end in text_slices([t or "" for t in texts]):
                 pending.append(pairs_of(words.ids([words_of(t) for t in texts[start:end]])))
                 waiting += len(pending[-1])
-                if waiting > 3_000_000:
-                    new, n = tally(np.concatenate(pending))
-                    keys, counts = tally(np.concatenate([keys, new]), np.concatenate([counts, n]))
-                    pending, waiting = [], 0
-                    if len(keys) > 6_000_000:
-                        yield from sharded(keys, counts, place(keys))
-                        keys, counts = keys[:0], counts[:0]
+                if waiting > PENDING:
+                    yield from out()
+                    waiting = 0
         if pending:
-            new, n = tally(np.concatenate(pending))
-            keys, counts = tally(np.concatenate([keys, new]), np.concatenate([counts, n]))
-        yield from sharded(keys, counts, place(keys))
+            yield from out()
+        pa.default_memory_pool().release_unused()
 
     def write_pairs(found: pa.Table) -> pa.Table:
         shard, keys, counts = added_up(found)
