@@ -80,7 +80,7 @@ def count_shared(docs: DataFrame, scratch: Scratch, words: int, text_col: str) -
     """Write, for each shard, the shingles of two or more different sets and how many have them."""
     folder = local_path(scratch.path("shared"))
     texts = docs.select(F.col(text_col).alias("text"))
-    shards = min(MOST_SHARDS, max(4, texts.rdd.getNumPartitions()))
+    shards = min(MOST_SHARDS, max(4, 4 * texts.rdd.getNumPartitions()))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(words)
@@ -106,7 +106,7 @@ def count_shared(docs: DataFrame, scratch: Scratch, words: int, text_col: str) -
                     if len(s) and (key := set_key(s)) not in sets:
                         sets[key] = s
                         size += len(s)
-                        if size > 4_000_000 or len(sets) == 65_535:
+                        if size > 2_000_000 or len(sets) == 65_535:
                             yield from out()
                             sets, size = {}, 0
         if sets:
