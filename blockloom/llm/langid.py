@@ -110,14 +110,14 @@ def identify(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classify = Classifier(shared.value)
         for batch in batches:
-            texts = batch.column("__text").to_pylist()
-            rows = batch.drop_columns(["__text"])
+            texts = batch.column(text_col).to_pylist()
+            rows = batch.select(own)
             for start, end in text_slices([t or "" for t in texts]):
                 found = [classify(t, least_margin) for t in texts[start:end]]
                 new = [pa.array(x, kind) for x, kind in zip(zip(*found, strict=True), (pa.string(), pa.float64(), pa.float64(), pa.bool_()), strict=True)]
                 part = rows.slice(start, end - start)
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], [*own, *names])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[f"`{c}`" for c in own]).schema)
-    schema = f"{fields}{', ' * bool(own)}lang_pred string, lang_score double, lang_margin double, lang_rejected boolean"
-    return docs.select(*[f"`{c}`" for c in own], F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    sent = docs.select(*[f"`{c}`" for c in own])
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sent.schema)
+    return sent.mapInArrow(run, f"{fields}, lang_pred string, lang_score double, lang_margin double, lang_rejected boolean")
