@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from blockloom.plans import catalog, intervals, journals, keyed, references, sets, versions
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for _module in (catalog, keyed, references, intervals, journals, sets, versions):
+    QUERIES.update(_module.QUERIES)
+    ORACLE_SQL.update(_module.ORACLE_SQL)
