@@ -51,8 +51,12 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, per_class: int, id_col:
     return texts.join(F.broadcast(chosen), "id")  # at most 2 * per_class rows of two numbers
 
 
-def select_terms(sample: DataFrame, most: int, least_chi2: float) -> list[str]:
-    """Terms whose presence separates the classes best, by the chi-squared statistic of the sample."""
+def select_terms(sample: DataFrame, most: int, least_chi2: float, least_log_odds: float) -> list[str]:
+    """Terms whose presence separates the classes best, by the chi-squared statistic of the sample.
+
+    Terms must also change the odds by a factor: in a large sample common words
+    of longer texts are significant too, but say nothing.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,6 +76,7 @@ def select_terms(sample: DataFrame, most: int, least_chi2: float) -> list[str]:
     n = float(m0 + m1)
     cross = a * (m0 - b) - b * (m1 - a)
     chi2 = n * cross * cross / (float(m0) * m1 * (a + b) * (n - a - b + 1e-9))
+    odds = F.log((a + 0.5) / (m1 - a + 0.5)) - F.log((b + 0.5) / (m0 - b + 0.5))
     found = (
         sample.select("text", "y")
         .mapInArrow(count, "term string, n0 long, n1 long")
@@ -79,7 +84,7 @@ def select_terms(sample: DataFrame, most: int, least_chi2: float) -> list[str]:
         .agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
         .filter("n0 + n1 >= 3")
         .withColumn("chi2", chi2)
-        .filter(F.col("chi2") >= least_chi2)
+        .filter((F.col("chi2") >= least_chi2) & (F.abs(odds) >= least_log_odds))
         .orderBy(F.desc("chi2"), "term")
         .limit(most)
     )
@@ -211,7 +216,7 @@ class Model:
         return float(1 / (1 + np.exp(-x))), [self.ids[j] for j in found[:3]], [float(c) for c in cosine[:3]]
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, most_terms: int = 512, least_chi2: float = 20.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, most_terms: int = 512, least_chi2: float = 20.0, least_log_odds: float = 2.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on at most ``per_class`` labelled rows of each class (those with the smallest hash of their id).
 
     Labels other than 0 and 1 are left out; an id labelled both ways counts as
@@ -219,7 +224,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, most_terms:
     text gets the share of 1 among the labels (0 if there are none).
     """
     sample = sample_labelled(docs, labels, per_class, id_col, text_col, label_col)
-    terms = select_terms(sample, most_terms, least_chi2)
+    terms = select_terms(sample, most_terms, least_chi2, least_log_odds)
     rows = sorted(sample.collect(), key=lambda r: (str(r.id), r.text))  # at most 2 * per_class texts
     all_labels = {r.y: r.n for r in labels.groupBy(F.col(label_col).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
     drawn = Counter(r.y for r in rows)
