@@ -5,7 +5,7 @@ page into lines, each with its text, its tags and its link text.  Elements that
 are never content (navigation, adverts, forms, comments and the like) are
 skipped while parsing.  The ratio of text to tags of each line is smoothed by a
 Gaussian over the lines around it, and regions - the lines of one container -
-whose smoothed ratio reaches a threshold are content.  Where the page marks an
+whose mean smoothed ratio reaches a share of the best one's are content.  Where the page marks an
 article, the regions outside it are not candidates.
 """
 
@@ -161,11 +161,14 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.25) -> str:
         lines = [x for x in lines if x.article]
     if len({x.region for x in lines}) > 1:
         ratio = smoothed([max(0, len(x.text) - x.link) / (1 + x.tags) for x in lines], sigma)
-        best: dict[int, float] = {}
+        weight: dict[int, int] = {}
+        mean: dict[int, float] = {}
         for x, r in zip(lines, ratio, strict=True):
-            best[x.region] = max(best.get(x.region, 0.0), r)
-        threshold = share * max(best.values())
-        lines = [x for x in lines if best[x.region] >= threshold]
+            weight[x.region] = weight.get(x.region, 0) + len(x.text)
+            mean[x.region] = mean.get(x.region, 0.0) + len(x.text) * r
+        mean = {k: v / weight[k] for k, v in mean.items()}
+        threshold = share * max(mean.values())
+        lines = [x for x in lines if mean[x.region] >= threshold]
     return "\n\n".join(x.text for x in lines)
 
 

@@ -327,7 +327,7 @@ class Scorer:
         c, k = self.words.values("counts", word), self.words.values("befores", word)
         base = np.log10((c + 0.1) / (m["tokens"] + 0.1 * (m["kinds"] + 1)))
         off = np.array([0.0, *m["lower"]])[np.minimum(k, 3)]
-        low = (np.maximum(k - off, 0) / m["befores"] if m["befores"] else 0.0) + m["rest"] / (m["kinds"] + 1)
+        low = np.maximum(k - off, 0) / max(m["befores"], 1) + m["rest"] / (m["kinds"] + 1)
         first, to = np.unique(before, return_inverse=True)
         times = self.words.values("counts", np.where(first == START, UNSEEN, first))
         times[first == START] = m["texts"]

@@ -265,7 +265,7 @@ def similar_sets(candidates: DataFrame, shards: int, percent: int, scratch: Scra
     )
     load = scratch.save(load, "load")
     rows = rows.join(load, "coarse").withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
-    whole = rows.select(F.struct("coarse", "chunk").alias("task"), F.lit(0).alias("side"), "key", F.col("key").alias("label"), "members")
+    whole = rows.select(F.struct("coarse", "chunk").alias("task"), F.lit(0).cast("long").alias("side"), "key", F.col("key").alias("label"), "members")
     links = scratch.save(joined(whole, percent), "links")
     if load.filter("chunks > 1").isEmpty():
         return connected_components(links, scratch, "fine")
@@ -276,7 +276,7 @@ def similar_sets(candidates: DataFrame, shards: int, percent: int, scratch: Scra
         heads = labelled(large, known).filter("key = label")
         n = heads.groupBy("coarse").agg(F.ceil(F.count(F.lit(1)) / CHUNK_SETS).cast("int").alias("parts"))
         heads = heads.join(n, "coarse").select(
-            F.struct("coarse", F.pmod(F.xxhash64("key", F.lit(k)), F.col("parts")).cast("int").alias("chunk")).alias("task"), F.lit(0).alias("side"), "key", "label", "members"
+            F.struct("coarse", F.pmod(F.xxhash64("key", F.lit(k)), F.col("parts")).cast("int").alias("chunk")).alias("task"), F.lit(0).cast("long").alias("side"), "key", "label", "members"
         )
         more = scratch.save(joined(heads, percent), f"heads-{k}")
         if more.isEmpty():
@@ -311,8 +311,12 @@ def similar_sets(candidates: DataFrame, shards: int, percent: int, scratch: Scra
     sides = pairs.select("coarse", "task", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("task.x").alias("chunk")), F.struct(F.lit(1).alias("side"), F.col("task.y").alias("chunk")))).alias("s"))
     sides = sides.select("coarse", "task", "s.side", "s.chunk")
     same = sides["coarse"].eqNullSafe(at["coarse"]) & sides["chunk"].eqNullSafe(at["chunk"])
-    crossed = at.join(sides, same).select("task", "side", "key", "label", "members")
-    links = scratch.save(links.union(joined(crossed, percent, across=True)), "links-all")
+    crossed = at.join(sides, same).select("task", F.col("side").cast("long").alias("side"), "key", "label", "members")
+    # a shared chunk also meets itself: there every set is a side of its own
+    alone = at.filter("chunk.label is null").select(
+        F.struct("coarse", F.col("chunk").alias("x"), F.col("chunk").alias("y")).alias("task"), F.col("key").alias("side"), "key", "label", "members"
+    )
+    links = scratch.save(links.union(joined(crossed.unionByName(alone), percent, across=True)), "links-all")
     return connected_components(links, scratch, "fine-all")
 
 
