@@ -80,15 +80,15 @@ class WordTokens:
     """Token ids of texts, a white-space separated word at a time.
 
     The vocabulary drops white space, never joins across it and folds case, so
-    a lower-cased text's ids are its words' ids in order.  A full stop or comma
-    between a letter and white space is a word of its own to the vocabulary, so
-    it is cut off first.  Words seen lately are remembered in two generations;
-    the older one goes when the younger is full.
+    a lower-cased text's ids are its words' ids in order.  Punctuation that ends
+    a word after a letter is a word of its own to the vocabulary, so the ids of
+    such a word are those of its two parts.  Words seen lately are remembered in
+    two generations; the older one goes when the younger is full.
     """
 
-    STOP = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\x09-\x0D])")
+    TAIL = re.compile(rb"(.*[a-z])([!\"#$%&()*+,\-./:;=?@\[\\\]^_`{}~]+)", re.DOTALL)
 
-    def __init__(self, tokenizer_file: str, remembered: int = 500_000):
+    def __init__(self, tokenizer_file: str, remembered: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
@@ -96,26 +96,29 @@ class WordTokens:
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    def learn(self, words: list[bytes]) -> None:
-        for start in range(0, len(words), 20_000):
-            part = words[start : start + 20_000]
+    def learn(self, words: set[bytes]) -> None:
+        """Add words that the younger generation lacks."""
+        again = words.intersection(self.old)
+        self.young.update((w, self.old[w]) for w in again)
+        tail = self.TAIL.fullmatch
+        parts = [(w, *m.groups()) for w in words - again if (m := tail(w))]
+        whole = (words - again).difference([w for w, _, _ in parts])
+        whole.update(p for _, core, end in parts for p in (core, end) if p not in self.young)
+        todo = list(whole)
+        for start in range(0, len(todo), 20_000):
+            part = todo[start : start + 20_000]
             found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
             ids = [e.ids for e in found]
             flat = np.fromiter(chain.from_iterable(ids), dtype="<u4").tobytes()
             cuts = [0, *accumulate(4 * len(i) for i in ids)]
             self.young.update((w, flat[i:j]) for w, i, j in zip(part, cuts, cuts[1:], strict=False))
+        self.young.update([(w, self.young[core] + self.young[end]) for w, core, end in parts])
 
     def encode(self, texts: list[str], last: int) -> list[np.ndarray]:
-        words = [self.STOP.sub(rb" \1", t.encode("utf-8", "replace").lower()).split() for t in texts]
-        every = set().union(*words)
+        words = [t.encode("utf-8", "replace").lower().split() for t in texts]
         if len(self.young) > self.remembered:
             self.old, self.young = self.young, {}
-        missing = every.difference(self.young)
-        if self.old:
-            again = missing.intersection(self.old)
-            self.young.update((w, self.old[w]) for w in again)
-            missing -= again
-        self.learn(list(missing))
+        self.learn(set().union(*words).difference(self.young))
         get, end = self.young.__getitem__, np.array([last], dtype="<u4").tobytes()
         return [np.frombuffer(b"".join(map(get, w)) + end, dtype="<u4") for w in words]
 
