@@ -80,7 +80,7 @@ def count_shared(docs: DataFrame, scratch: Scratch, words: int, text_col: str) -
     """Write, for each shard, the shingles of two or more different sets and how many have them."""
     folder = local_path(scratch.path("shared"))
     texts = docs.select(F.col(text_col).alias("text"))
-    shards = min(MOST_SHARDS, max(4, 4 * texts.rdd.getNumPartitions()))
+    shards = min(MOST_SHARDS, max(4, texts.rdd.getNumPartitions()))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(words)
@@ -94,8 +94,10 @@ def count_shared(docs: DataFrame, scratch: Scratch, words: int, text_col: str) -
             order = np.argsort(flat)
             flat, owner = flat[order], owner[order]
             for k, at in by_shard(shard_of(flat, shards)):
+                there, place = np.unique(owner[at], return_inverse=True)  # only the keys of sets with a shingle there
+                sent = squeeze(flat[at]), place.astype(np.uint16).tobytes(), keys[there].tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k], pa.int32()), pa.array([squeeze(flat[at])], pa.binary()), pa.array([owner[at].tobytes()], pa.binary()), pa.array([keys.tobytes()], pa.binary())],
+                    [pa.array([k], pa.int32()), *(pa.array([x], pa.binary()) for x in sent)],
                     ["shard", "hashes", "owners", "keys"],
                 )
 
