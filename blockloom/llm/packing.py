@@ -13,7 +13,7 @@ import gc
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -76,6 +76,11 @@ def best_fit_decreasing(lengths: list[int], window: int) -> tuple[list[int], lis
     return sequences, offsets
 
 
+def only_letters(word: str) -> bool:
+    """Whether normalising and folding the word leaves a run of letters."""
+    return word.isalpha() and (word.isascii() or (is_normalized("NFC", word) and word.lower().isalpha()))
+
+
 class WordTokens:
     """Token ids of texts, a white-space separated word at a time.
 
@@ -92,6 +97,9 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.remembered = remembered
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
@@ -104,14 +112,23 @@ class WordTokens:
         parts = [(w, *m.groups()) for w in words - again if (m := tail(w))]
         whole = (words - again).difference([w for w, _, _ in parts])
         whole.update(p for _, core, end in parts for p in (core, end) if p not in self.young)
-        todo = list(whole)
-        for start in range(0, len(todo), 20_000):
-            part = todo[start : start + 20_000]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            ids = [e.ids for e in found]
-            flat = np.fromiter(chain.from_iterable(ids), dtype="<u4").tobytes()
-            cuts = [0, *accumulate(4 * len(i) for i in ids)]
-            self.young.update((w, flat[i:j]) for w, i, j in zip(part, cuts, cuts[1:], strict=False))
+        plain, other = [], []
+        for w in whole:
+            (plain if only_letters(t := w.decode()) else other).append(t)
+        for start in range(0, len(plain), 20_000):
+            # a run of letters is one word of the vocabulary, and its last token is marked as an end
+            part = plain[start : start + 20_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+            if len(cuts) != len(part) + 1:
+                other += part
+                continue
+            flat = ids.tobytes()
+            self.young.update((w.encode(), flat[i:j]) for w, i, j in zip(part, cuts, cuts[1:], strict=False))
+        for start in range(0, len(other), 20_000):
+            part = other[start : start + 20_000]
+            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            self.young.update((w.encode(), np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(part, found, strict=True))
         self.young.update([(w, self.young[core] + self.young[end]) for w, core, end in parts])
 
     def encode(self, texts: list[str], last: int) -> list[np.ndarray]:
