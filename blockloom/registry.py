@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from blockloom.plans import catalog, intervals, journals, keyed, references, sets, versions
+from blockloom.plans import catalog, intervals, journals, keyed, references, sets, versions, views
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _module in (catalog, keyed, references, intervals, journals, sets, versions):
+for _module in (catalog, keyed, references, intervals, journals, sets, versions, views):
     QUERIES.update(_module.QUERIES)
     ORACLE_SQL.update(_module.ORACLE_SQL)

@@ -128,3 +128,27 @@ def test_partition_tables(spark):
     found = sorted(((r.k, r.partition, r.first_sector, r.error) for r in partitions(spark.createDataFrame(rows, "k long, d binary"), "k", "d").collect()), key=str)
     assert [f[0] for f in found] == [1, 1, 2, 3, 4, 5]
     assert found[:2] == [(1, 0, 10, None), (1, 1, 20, None)] and found[2][3] == "overlap" and all(f[3] for f in found[2:])
+
+
+def test_run_lists(spark):
+    from blockloom.functions.runlists import parse, runs
+
+    good = bytes([0x21, 5, 0x10, 0x27, 0x01, 3, 0x11, 2, 0xFF, 0])
+    assert parse(good) == [(0, 5, 10000), (5, 3, None), (8, 2, 9999)]
+    bad = [b"", b"\x00", good[:-1], good[:3], bytes([0x11, 1, 0xFF, 0]), bytes([0x10, 1, 0])]
+    rows = spark.createDataFrame([(0, bytearray(good)), *((k, bytearray(b)) for k, b in enumerate(bad, 1)), (9, None)], "k long, d binary").withColumn("r", runs()("d")).collect()
+    found = {r.k: r.r and [tuple(x) for x in r.r] for r in rows}
+    assert found[0] == parse(good) and all(found[k] is None for k in found if k)
+
+
+def test_digests_and_keys(spark):
+    from blockloom.functions import crypto
+
+    data = b"abcdefghij"
+    df = spark.createDataFrame([(1, bytearray(data)), (2, bytearray(b"")), (3, None)], "k long, d binary")
+    found = {r.k: (r.p, r.s) for r in df.select("k", crypto.part_digests(F.col("d"), 4).alias("p"), crypto.sign(b"key")("d").alias("s")).collect()}
+    md5 = lambda x: hashlib.md5(x).hexdigest()
+    assert found[1][0] == [md5(b"abcd"), md5(b"efgh"), md5(b"ij")] and found[2][0] == [md5(b"")]
+    assert found[1][1] == __import__("hmac").new(b"key", data, "sha256").hexdigest() and found[3][1] is None
+    key = df.filter("k = 1").select(crypto.derive_key(10)(F.lit("pw"), "d").alias("x")).first().x
+    assert bytes(key) == hashlib.pbkdf2_hmac("sha256", b"pw", data, 10)
