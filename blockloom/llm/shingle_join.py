@@ -116,17 +116,20 @@ def count_shared(docs: DataFrame, scratch: Scratch, words: int, text_col: str) -
 
     def write(found: pa.Table) -> pa.Table:
         shard = found.column("shard")[0].as_py()
-        hashes, owners = [], []
+        hashes, owners, keys, known = [], [], [], 0
         for row in found.select(["hashes", "owners", "keys"]).to_pylist():
             hashes.append(unsqueeze(row["hashes"]))
-            owners.append(np.frombuffer(row["keys"], dtype=np.int64)[np.frombuffer(row["owners"], dtype=np.uint16)])
-        flat, owner = np.concatenate(hashes), np.concatenate(owners)
-        order = np.argsort(flat, kind="stable")
-        flat, owner = flat[order], owner[order]
-        again = np.flatnonzero(flat[1:] == flat[:-1])  # only shingles that come more than once go on
-        many = np.zeros(len(flat), dtype=bool)
-        many[again] = many[again + 1] = True
-        flat, owner = flat[many], owner[many]
+            keys.append(np.frombuffer(row["keys"], dtype=np.int64))
+            owners.append(np.frombuffer(row["owners"], dtype=np.uint16).astype(np.uint32) + np.uint32(known))
+            known += len(keys[-1])
+        flat, owner, key = np.concatenate(hashes), np.concatenate(owners), np.concatenate(keys)
+        del hashes, owners, keys
+        order = np.argsort(flat)
+        flat = flat[order]
+        same = flat[1:] == flat[:-1]  # only shingles that come more than once go on
+        many = np.flatnonzero(np.r_[same, False] | np.r_[False, same])
+        flat, owner = flat[many], key[owner[order[many]]]
+        del order, many
         order = np.lexsort((owner, flat))
         flat, owner = flat[order], owner[order]
         fresh = np.r_[True, (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])] if len(flat) else np.zeros(0, dtype=bool)
