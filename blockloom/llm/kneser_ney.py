@@ -32,7 +32,8 @@ from blockloom.llm.common import Scratch, text_slices
 END = b" end"  # no word holds a space
 UNSEEN = (1 << 32) - 1
 START = (1 << 32) - 2
-MOST_SHARDS = 8192
+MOST_SHARDS = 30_000
+MOST_MAPS = 10_000  # arrays that a worker keeps mapped
 PENDING = 1_500_000  # tokens that a task gathers before it sends their pairs
 
 
@@ -67,6 +68,8 @@ class Vocabulary:
     def part(self, kind: str, shard: int) -> np.ndarray:
         name = f"{kind}-{shard}"
         if name not in self.maps:
+            if len(self.maps) > MOST_MAPS:
+                self.maps.clear()
             self.maps[name] = map_array(self.folder, name)
         return self.maps[name]
 

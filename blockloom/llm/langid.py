@@ -20,6 +20,11 @@ UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 
+# Every dictionary ends with this mark, and a short text is compressed after it: the mark is one match in each
+# language, which makes the block worth compressing, so that even a few words show what they match.
+MARK = bytes(range(33, 65)) * 2
+SHORT = 256
+
 
 def plain(text: str) -> str:
     """Lower-case letters with single spaces between words: what is compressed."""
@@ -58,7 +63,7 @@ def train_dictionaries(
 
 
 class Classifier:
-    def __init__(self, dictionaries: dict[str, bytes], level: int = 3, chunk: int = 2048):
+    def __init__(self, dictionaries: dict[str, bytes], level: int = 12, chunk: int = 2048):
         import zstandard as z
 
         params = z.ZstdCompressionParameters.from_level(
@@ -68,12 +73,14 @@ class Classifier:
         self.chunk = chunk
         self.engines = []
         for data in dictionaries.values():
-            raw = z.ZstdCompressionDict(data, dict_type=z.DICT_TYPE_RAWCONTENT)
+            raw = z.ZstdCompressionDict(data + MARK, dict_type=z.DICT_TYPE_RAWCONTENT)
             raw.precompute_compress(compression_params=params)
             self.engines.append(z.ZstdCompressor(compression_params=params, dict_data=raw))
 
     def sizes(self, text: str) -> list[int]:
         data = plain(text).encode("utf-8", "replace")
+        if len(data) < SHORT:
+            data = MARK + data
         chunks = [data[i : i + self.chunk] for i in range(0, len(data), self.chunk)]
         return [sum(len(e.compress(c)) for c in chunks) for e in self.engines]
 

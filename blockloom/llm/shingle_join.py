@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from blockloom.llm import signature_tree
 from blockloom.llm.arrays import by_shard, local_path, map_array, mix, shard_of, squeeze, unsqueeze, write_array
 from blockloom.llm.common import Scratch, connected_components, text_slices
-from blockloom.llm.kneser_ney import words_of
+from blockloom.llm.kneser_ney import MOST_MAPS, words_of
 
-MOST_SHARDS = 8192
+MOST_SHARDS = 30_000
 CHUNK_SETS = 4096
 CHUNK_BYTES = 24_000_000
 
@@ -161,6 +161,8 @@ def candidate_sets(docs: DataFrame, folder: str, shards: int, words: int, percen
             order = np.argsort(flat)
             for k, at in by_shard(shard_of(flat[order], shards)):
                 if k not in maps:
+                    if len(maps) > MOST_MAPS:
+                        maps.clear()
                     maps[k] = map_array(folder, f"shingles-{k}"), map_array(folder, f"sets-{k}")
                 keys, n = maps[k]
                 if len(keys):
