@@ -11,6 +11,8 @@ Conventions that hold for every operator of the subpackage:
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -36,7 +38,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder; a folder of our own where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="blockloom-")
+        own = tempfile.mkdtemp(prefix="blockloom-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = f"file://{own}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
@@ -66,9 +70,6 @@ class Scratch:
             path = sc._jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
-    def drop_all(self) -> None:
-        self.drop("")
-
 
 def text_slices(texts: Iterable, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """(start, end) of runs of texts with about ``most`` characters together."""
