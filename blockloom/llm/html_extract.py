@@ -83,8 +83,10 @@ class Lines(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if self.skipping:
-            if tag in ARTICLES and self.skipping not in ("script", "style", "template", "noscript"):
-                self.skipping = ""  # an element left open ends where the article begins
+            opens = tag == "body" or tag in ARTICLES  # an element left open ends where the page or its article begins
+            implied = (self.skipping == "p" and tag in BLOCKS) or (self.skipping == "li" and tag == "li" and self.depth == 1)
+            if implied or (opens and self.skipping not in ("template", "noscript")):
+                self.skipping = ""
             else:
                 self.depth += tag == self.skipping
                 return

@@ -30,6 +30,8 @@ def test_broken_markup():
     assert main_text("<nav><a>x</a><article><p>text</p></article>") == "text"  # a menu left open
     assert main_text("<article><p>cut of") == "cut of"
     assert main_text("<div class='ad'><div>a</div>b</div><p>text</p>") == "text"
+    assert main_text("<article><p class='notice'>gone<p>stays<ul><li class=ad>x<li>y</ul></article>") == "stays\n\ny"
+    assert main_text("<html><head><title>T<body><p>text</p>") == "text"
     assert main_text("just words") == "just words"
     assert main_text("<article><script>if (a < b) { '<p>' }</script><p>t</p></article>") == "t"
 
