@@ -11,15 +11,13 @@ Conventions that hold for every operator of the subpackage:
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from blockloom.sources.scratch import fresh_path
+
 # ASCII white space, and words as maximal runs of anything else.
 WS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -34,17 +32,6 @@ def bucket_of(col: str, modulus: int):
     return F.coalesce(F.crc32(F.col(col).cast("string")) % modulus, F.lit(-1))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a folder of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        own = tempfile.mkdtemp(prefix="blockloom-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        found = f"file://{own}"
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 class Scratch:
     """Tables of one run in the shared folder.
 
@@ -54,7 +41,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/blockloom-{tag}-{uuid.uuid4().hex}"
+        self.root = fresh_path(spark, tag)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
