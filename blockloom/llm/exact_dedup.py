@@ -97,13 +97,19 @@ def exact_dedup(
 
 
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that exact_dedup keeps, with all their columns."""
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(id_col, "text_sha256", "n_same_id")
-    kept = Scratch(docs.sparkSession, "exact-kept").save(kept, "kept").withColumnsRenamed({id_col: "__id", "text_sha256": "__sha", "n_same_id": "__n"})
-    rows = docs.join(
-        kept, docs[id_col].eqNullSafe(F.col("__id")) & (text_digest(text_col) == F.col("__sha"))
-    )
-    if kept.filter("__n > 1").isEmpty():
-        return rows.select(*[docs[c] for c in docs.columns])
+    """The rows of ``docs`` that exact_dedup keeps, with all their columns.
+
+    Where ids are unique, the ids of the copies to drop are enough, and Spark
+    may broadcast them if they are few.  Where an id comes more than once, rows
+    are told apart by their digests too, and of rows that repeat id and text one
+    is kept.
+    """
+    scratch = Scratch(docs.sparkSession, "exact-kept")
+    found = scratch.save(exact_dedup(docs, id_col, text_col).withColumnRenamed(id_col, "__id"), "decisions")
+    if found.groupBy("__id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        dropped = found.filter(~F.col("kept")).select("__id")
+        return docs.join(dropped, docs[id_col] == F.col("__id"), "left_anti")
+    kept = found.filter("kept").select("__id", F.col("text_sha256").alias("__sha"), F.col("n_same_id").alias("__n"))
+    rows = docs.join(kept, docs[id_col].eqNullSafe(F.col("__id")) & (text_digest(text_col) == F.col("__sha")))
     once = rows.filter("__n = 1").select(*docs.columns)
-    return once.unionByName(rows.filter("__n > 1").select(*docs.columns).dropDuplicates([id_col, text_col]).dropDuplicates([id_col]))
+    return once.unionByName(rows.filter("__n > 1").dropDuplicates(["__id", "__sha"]).select(*docs.columns))

@@ -41,4 +41,6 @@ def test_repeated_rows_nulls_and_empty(spark, no_docs):
     kept = keep_first_copies(df).collect()
     assert sorted((r.doc_id is None, r.doc_id, r.text) for r in kept if r.doc_id is not None) == [(False, 1, "a"), (False, 4, None), (False, 9, "many")]
     assert sum(r.doc_id is None for r in kept) == 1
-    assert exact_dedup(no_docs).collect() == []
+    assert exact_dedup(no_docs).collect() == [] and keep_first_copies(no_docs).collect() == []
+    unique = spark.createDataFrame([(3, "a b"), (1, "c"), (2, "a\tb"), (None, "c"), (5, None)], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.text) for r in keep_first_copies(unique).collect() if r.text) == [(0, "c"), (2, "a\tb")]
