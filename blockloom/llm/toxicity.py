@@ -119,6 +119,20 @@ class Vectorizer:
         return tuple(at), tuple(x / norm for x in w)
 
 
+def count_terms(sample: DataFrame, terms: list[str]) -> DataFrame:
+    """(id, y, at, n): the chosen terms of each text and how often it has them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectorizer = Vectorizer(terms)
+        for batch in batches:
+            counts = [sorted(vectorizer.counts(t).items()) for t in batch.column("text").to_pylist()]
+            at, n = ([[pair[k] for pair in c] for c in counts] for k in (0, 1))
+            columns = [batch.column("id"), batch.column("y"), pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "y", "at", "n"])
+
+    return sample.select("id", "y", "text").mapInArrow(run, f"id {sample.schema['id'].dataType.simpleString()}, y int, at array<int>, n array<int>")
+
+
 class BlockMaxIndex:
     """Postings of each term, and its largest weight in each block of examples."""
 
@@ -179,12 +193,11 @@ def log_odds(p: np.ndarray | float) -> np.ndarray | float:
 class Model:
     """The index and its votes.  Built from a bounded sample, so its size does not depend on the corpus."""
 
-    def __init__(self, ids: list, texts: list[str], y: list[int], shares: tuple[float, float], terms: list[str], k: int = 15):
+    def __init__(self, ids: list, counts: list[dict[int, int]], y: list[int], shares: tuple[float, float], terms: list[str], k: int = 15):
         self.terms, self.k = terms, k
-        vectorizer = Vectorizer(terms)
-        counts = [vectorizer.counts(t) for t in texts]
         df = Counter(t for c in counts for t in c)
-        self.idf = vectorizer.idf = [math.log((1 + len(texts)) / (1 + df[t])) + 1 for t in range(len(terms))]
+        self.idf = [math.log((1 + len(counts)) / (1 + df[t])) + 1 for t in range(len(terms))]
+        vectorizer = Vectorizer(terms, self.idf)
         weight = np.array([shares[v] for v in y])  # what one example of its class stands for
         some = [i for i, c in enumerate(counts) if c]
         vectors = [vectorizer.vector(counts[i]) for i in some]
@@ -225,11 +238,11 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, most_terms:
     """
     sample = sample_labelled(docs, labels, per_class, id_col, text_col, label_col)
     terms = select_terms(sample, most_terms, least_chi2, least_log_odds)
-    rows = sorted(sample.collect(), key=lambda r: (str(r.id), r.text))  # at most 2 * per_class texts
+    rows = sorted(count_terms(sample, terms).collect(), key=lambda r: (str(r.id), r.y, r.at, r.n))  # at most 2 * per_class rows
     all_labels = {r.y: r.n for r in labels.groupBy(F.col(label_col).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
     drawn = Counter(r.y for r in rows)
     shares = tuple(all_labels.get(v, 0) / drawn[v] if drawn[v] else 1.0 for v in (0, 1))
-    return Model([r.id for r in rows], [r.text for r in rows], [r.y for r in rows], shares, terms)
+    return Model([r.id for r in rows], [dict(zip(r.at, r.n, strict=True)) for r in rows], [r.y for r in rows], shares, terms)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
