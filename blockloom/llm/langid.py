@@ -63,26 +63,31 @@ def train_dictionaries(
 
 
 class Classifier:
-    def __init__(self, dictionaries: dict[str, bytes], level: int = 12, chunk: int = 2048):
+    """Compresses a text with every dictionary; texts below ``fine_below`` bytes at a higher level, as each byte counts there."""
+
+    def __init__(self, dictionaries: dict[str, bytes], level: int = 7, fine_level: int = 12, fine_below: int = 1024, chunk: int = 2048):
+        self.langs = list(dictionaries)
+        self.chunk, self.fine_below = chunk, fine_below
+        self.engines = [self.engine(data, level) for data in dictionaries.values()]
+        self.fine = [self.engine(data, fine_level) for data in dictionaries.values()]
+
+    def engine(self, data: bytes, level: int):
         import zstandard as z
 
         params = z.ZstdCompressionParameters.from_level(
-            level, dict_size=1 << 17, source_size=chunk, write_content_size=False, write_checksum=False, write_dict_id=False
+            level, dict_size=1 << 17, source_size=self.chunk, write_content_size=False, write_checksum=False, write_dict_id=False
         )
-        self.langs = list(dictionaries)
-        self.chunk = chunk
-        self.engines = []
-        for data in dictionaries.values():
-            raw = z.ZstdCompressionDict(data + MARK, dict_type=z.DICT_TYPE_RAWCONTENT)
-            raw.precompute_compress(compression_params=params)
-            self.engines.append(z.ZstdCompressor(compression_params=params, dict_data=raw))
+        raw = z.ZstdCompressionDict(data + MARK, dict_type=z.DICT_TYPE_RAWCONTENT)
+        raw.precompute_compress(compression_params=params)
+        return z.ZstdCompressor(compression_params=params, dict_data=raw)
 
     def sizes(self, text: str) -> list[int]:
         data = plain(text).encode("utf-8", "replace")
+        engines = self.fine if len(data) < self.fine_below else self.engines
         if len(data) < SHORT:
             data = MARK + data
         chunks = [data[i : i + self.chunk] for i in range(0, len(data), self.chunk)]
-        return [sum(len(e.compress(c)) for c in chunks) for e in self.engines]
+        return [sum(len(e.compress(c)) for c in chunks) for e in engines]
 
     def __call__(self, text: str | None, least_margin: float) -> tuple[str, float, float, bool]:
         if not text or not self.langs or not LETTER.search(text):
