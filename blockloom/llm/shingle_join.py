@@ -340,7 +340,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, id_col:
     null text or one without words has none and is linked with nothing, so its
     component is itself.  Two documents are linked when the overlap of their
     sets is at least ``percent`` of the union; ``component_id`` is the smallest
-    id that can be reached.  Repeated rows share their component.  Sets and
+    id that can be reached (null ids are never the smallest; a component of null
+    ids alone has a null one).  Repeated rows share their component.  Sets and
     shingles are told apart by 64-bit hashes.
     """
     scratch = Scratch(docs.sparkSession, "near")
