@@ -30,7 +30,7 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, that with the smallest id, of each group of near copies."""
+    """Keep one document, that with the smallest id, of each group of near copies; a row without id stays."""
     groups = shingle_join.near_duplicates(docs)
     dropped = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(dropped, F.col("doc_id") == F.col("__id"), "left_anti")
