@@ -105,8 +105,9 @@ def identify(
     dictionaries: dict[str, bytes],
     least_margin: float = 0.0,
     text_col: str = "text",
+    prefix: str = "lang_",
 ) -> DataFrame:
-    """``docs`` with lang_pred, lang_score, lang_margin and lang_rejected (and all its own columns).
+    """``docs`` with lang_pred, lang_score, lang_margin and lang_rejected (and all its own columns of other names).
 
     ``und`` with score 0, rejected, for a null text or one without letters, and
     for any text if nothing was learned.  Ties go to the language first by code
@@ -116,7 +117,7 @@ def identify(
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(dictionaries)  # bounded: see train_dictionaries
-    names = ["lang_pred", "lang_score", "lang_margin", "lang_rejected"]
+    names = [f"{prefix}{x}" for x in ("pred", "score", "margin", "rejected")]
     own = [c for c in docs.columns if c not in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,4 +133,4 @@ def identify(
 
     sent = docs.select(*[f"`{c}`" for c in own])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sent.schema)
-    return sent.mapInArrow(run, f"{fields}, lang_pred string, lang_score double, lang_margin double, lang_rejected boolean")
+    return sent.mapInArrow(run, ", ".join([fields, *(f"`{n}` {kind}" for n, kind in zip(names, ("string", "double", "double", "boolean"), strict=True))]))

@@ -48,6 +48,17 @@ def test_stages_on_a_fixture(spark, corpus, tmp_path):
     assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == len(rows)
 
 
+def test_columns_of_any_name_stay(spark, docs, corpus):
+    text = {i: t for i, t, *_ in corpus}
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, docs, "")
+        assert found.columns == docs.columns
+        rows = found.collect()
+        assert rows and all(r.text == text[r.doc_id] and r.lang_pred == r.key == r.copies == "clash" for r in rows)
+        none = stage(spark, docs.limit(0), "")
+        assert none.columns == docs.columns and none.collect() == []
+
+
 def test_packing_of_unique_documents(spark):
     rows = [(k, "some words " * k) for k in range(1, 30)]
     found = corpus_pipeline.pack(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
