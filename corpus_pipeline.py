@@ -20,8 +20,8 @@ LEAST_MARGIN = 0.0005  # below this, two languages fit a text equally well
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without letters and those that two languages fit equally well."""
     learned = langid.train_dictionaries(docs)
-    found = langid.identify(docs, learned, LEAST_MARGIN)
-    return found.filter(~F.col("lang_rejected")).select(*docs.columns)
+    found = langid.identify(docs, learned, LEAST_MARGIN, prefix="__lang_")
+    return found.filter(~F.col("__lang_rejected")).select(*docs.columns)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
