@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from blockloom.functions.numbers import int_div
+
 OBJECT_SIZE = 8 * 1024 * 1024
 PAGE = 4096
 
@@ -27,7 +29,7 @@ def objects(spark: SparkSession, d: str) -> DataFrame:
         (k + 1).alias("oid"),
         F.when(index, 2).otherwise(1).alias("kind"),
         F.when(index, 0).otherwise((k % 6).cast("int")).alias("pool"),
-        (F.floor(k / 6) % 4).cast("int").alias("sync_state"),
+        (int_div(k, 6) % 4).cast("int").alias("sync_state"),
         missing.alias("missing"),
         (k % 13 != 0).alias("sealed"),
         F.when(~missing, k + 1).alias("extent"),
@@ -104,7 +106,7 @@ def read_log(spark: SparkSession, d: str) -> DataFrame:
     e = F.col("event_id")
     return raw(spark, d, "events").select(
         e.alias("tick"),
-        ((F.floor(e / 4) * 97) % 512 * 1048576 + (e % 4) * 262144).cast("long").alias("off"),
+        ((int_div(e, 4) * 97) % 512 * 1048576 + (e % 4) * 262144).cast("long").alias("off"),
         F.lit(262144).cast("long").alias("len"),
     )
 
@@ -131,7 +133,7 @@ def bitmap(spark: SparkSession, d: str) -> DataFrame:
 def commits(spark: SparkSession, d: str) -> DataFrame:
     """Published versions: several volumes, with some equal generations."""
     k = F.col("o_orderkey")
-    generation = F.floor(k / 2).cast("long")
+    generation = int_div(k, 2)
     name = F.concat(F.lpad(generation.cast("string"), 20, "0"), F.lit("-r"), k.cast("string"), F.lit(".json"))
     return raw(spark, d, "orders").select((F.col("o_custkey") % 20).cast("long").alias("volume"), generation.alias("generation"), k.alias("root_id"), name.alias("name"))
 
@@ -145,7 +147,7 @@ def activity(spark: SparkSession, d: str) -> DataFrame:
     return raw(spark, d, "events").select(
         (F.col("event_id") + 1).alias("sequence"),
         F.concat(F.lit("disk-"), (F.col("user_id") % 4).cast("string")).alias("disk_id"),
-        F.concat(F.lit("run-"), F.floor(F.col("event_id") / 50).cast("long").cast("string")).alias("run_id"),
+        F.concat(F.lit("run-"), int_div(F.col("event_id"), 50).cast("string")).alias("run_id"),
         action.alias("action"),
         F.when(e == "error", "error").otherwise("info").alias("level"),
         (F.col("event_id") % 9 * 4096).alias("bytes"),

@@ -6,9 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def int_div(x: Column, by: int) -> Column:
+    """Integer division, exact for any BIGINT."""
+    return F.call_function("div", x, F.lit(by))
+
+
 def ceil_div(x: Column, by: int) -> Column:
-    up = x + (by - 1)
-    return ((up - up % by) / by).cast("long")
+    return int_div(x + (by - 1), by)
 
 
 def align_down(x: Column, to: int) -> Column:
