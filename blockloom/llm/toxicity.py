@@ -229,7 +229,7 @@ class Model:
         return float(1 / (1 + np.exp(-x))), [self.ids[j] for j in found[:3]], [float(c) for c in cosine[:3]]
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, most_terms: int = 512, least_chi2: float = 20.0, least_log_odds: float = 2.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, most_terms: int = 512, least_chi2: float = 40.0, least_log_odds: float = 2.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on at most ``per_class`` labelled rows of each class (those with the smallest hash of their id).
 
     Labels other than 0 and 1 are left out; an id labelled both ways counts as
