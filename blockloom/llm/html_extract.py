@@ -4,9 +4,11 @@ The standard library's streaming parser gives events; block elements cut the
 page into lines, each with its text, its tags and its link text.  Elements that
 are never content (navigation, adverts, forms, comments and the like) are
 skipped while parsing.  The ratio of text to tags of each line is smoothed by a
-Gaussian over the lines around it, and regions - the lines of one container -
-whose mean smoothed ratio reaches a share of the best one's are content.  Where the page marks an
-article, the regions outside it are not candidates.
+Gaussian over the lines around it, on every page.  Lines, and regions - the lines
+of one container - whose smoothed ratio reaches a share of the best region's are
+content, and so is what shares their container or article; blocks that are mostly
+links go.  An article element is a weight on its lines' ratio where
+it holds most of the page's text, not a condition.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ BLOCKS = frozenset(
 CONTAINERS = frozenset("body main article section div table ul ol td".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ARTICLES = frozenset(["article", "main"])
+LINKS = 3  # links from which a block of mostly link text is a list of links
+ARTICLE_WEIGHT = 2.0
 # Words in class, id and role that mark what is not content.
 UNWANTED = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner promo promoted sponsor sponsored nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar "
@@ -54,10 +58,10 @@ def unwanted(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
 
 
 class Line:
-    __slots__ = ("article", "link", "region", "tags", "text")
+    __slots__ = ("article", "link", "links", "node", "tags", "text")
 
-    def __init__(self, text: str, tags: int, link: int, region: int, article: bool):
-        self.text, self.tags, self.link, self.region, self.article = text, tags, link, region, article
+    def __init__(self, text: str, tags: int, link: int, links: int, node: int, article: bool):
+        self.text, self.tags, self.link, self.links, self.node, self.article = text, tags, link, links, node, article
 
 
 class Lines(HTMLParser):
@@ -67,19 +71,20 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
         self.parts: list[str] = []
-        self.tags = self.link = self.links = 0
+        self.tags = self.link = self.links = self.anchors = 0
         self.skipping, self.depth = "", 0
-        self.open: list[tuple[str, int]] = []  # containers with their regions
-        self.articles = self.regions = 0
+        self.open: list[tuple[str, int]] = []  # containers with their nodes
+        self.articles = 0
+        self.nodes: list[tuple[str, int]] = [("body", -1)]  # tag and parent of each container; the first is the page
 
     def cut(self) -> None:
         if self.parts:
             text = SPACES.sub(" ", "".join(self.parts)).strip(" ")
             if text:
-                region = self.open[-1][1] if self.open else 0
-                self.lines.append(Line(text, self.tags, self.link, region, self.articles > 0))
+                node = self.open[-1][1] if self.open else 0
+                self.lines.append(Line(text, self.tags, self.link, self.anchors, node, self.articles > 0))
             self.parts = []
-        self.tags = self.link = 0
+        self.tags = self.link = self.anchors = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if self.skipping:
@@ -101,12 +106,11 @@ class Lines(HTMLParser):
             self.parts.append(" ")
         self.tags += 1
         self.links += tag == "a"
+        self.anchors += tag == "a"
         if tag in CONTAINERS:
-            inside = self.articles > 0
             self.articles += tag in ARTICLES
-            if not inside:  # an article's own containers belong to its region
-                self.regions += 1
-            self.open.append((tag, self.regions))
+            self.nodes.append((tag, self.open[-1][1] if self.open else 0))
+            self.open.append((tag, len(self.nodes) - 1))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in VOID:
@@ -150,6 +154,56 @@ def smoothed(values: list[float], sigma: float) -> list[float]:
     return out
 
 
+def content(lines: list[Line], nodes: list[tuple[str, int]], sigma: float, share: float) -> list[Line]:
+    """The lines of the clusters around those that stand out by their smoothed ratio of text to tags."""
+    plain = [max(0, len(x.text) - x.link) for x in lines]
+    marked = 2 * sum(n for x, n in zip(lines, plain, strict=True) if x.article) >= sum(plain)
+    ratio = [n / (1 + x.tags) * (ARTICLE_WEIGHT if marked and x.article else 1.0) for x, n in zip(lines, plain, strict=True)]
+    smooth = smoothed(ratio, sigma)
+
+    weight: dict[int, int] = {}
+    mean: dict[int, float] = {}
+    for x, r in zip(lines, smooth, strict=True):
+        weight[x.node] = weight.get(x.node, 0) + len(x.text)
+        mean[x.node] = mean.get(x.node, 0.0) + len(x.text) * r
+    mean = {k: v / weight[k] for k, v in mean.items()}
+    threshold = share * max(mean.values())
+    if not threshold:  # nothing but links
+        return lines
+
+    article = [-1]  # of each node: the article that it is or lies in
+    for k, (tag, parent) in enumerate(nodes[1:], 1):
+        article.append(k if tag in ARTICLES else article[parent])
+
+    strong = [min(r, s) >= threshold for r, s in zip(ratio, smooth, strict=True)]
+    lively, anchors, surplus = [False] * len(nodes), [0] * len(nodes), [0] * len(nodes)  # of each node and what it encloses
+    for x, good in zip(lines, strong, strict=True):
+        lively[x.node] |= good
+        anchors[x.node] += x.links
+        surplus[x.node] += 2 * x.link - len(x.text)
+    for k in range(len(nodes) - 1, 0, -1):
+        parent = nodes[k][1]
+        lively[parent] |= lively[k]
+        anchors[parent] += anchors[k]
+        surplus[parent] += surplus[k]
+    links = [not good and n >= LINKS and more > 0 for good, n, more in zip(lively, anchors, surplus, strict=True)]
+    for k, (_, parent) in enumerate(nodes[1:], 1):
+        links[k] |= links[parent]
+
+    whole = {node for node, value in mean.items() if value >= threshold}
+    for k, x in enumerate(lines):
+        if strong[k]:
+            whole.update((x.node, article[x.node]))
+    inside = [node in whole for node in range(len(nodes))]
+    page = {0} | {k for k, (tag, _) in enumerate(nodes) if tag == "body"}  # containers directly in the page stand for themselves
+    for k, (_, parent) in enumerate(nodes[1:], 1):
+        inside[k] = inside[k] or (inside[parent] and parent not in page)
+
+    kept = [inside[x.node] or s >= threshold for x, s in zip(lines, smooth, strict=True)]
+    menu = [links[x.node] or (not good and x.links >= LINKS and 2 * x.link > len(x.text)) for x, good in zip(lines, strong, strict=True)]
+    return [x for x, stays, link in zip(lines, kept, menu, strict=True) if stays and not link]
+
+
 def main_text(html: str | None, sigma: float = 1.0, share: float = 0.25) -> str:
     """The content lines of a page, joined by an empty line."""
     if not html:
@@ -158,19 +212,7 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.25) -> str:
     parser.feed(html)
     parser.close()
     parser.cut()
-    lines = parser.lines
-    if any(x.article for x in lines):
-        lines = [x for x in lines if x.article]
-    if len({x.region for x in lines}) > 1:
-        ratio = smoothed([max(0, len(x.text) - x.link) / (1 + x.tags) for x in lines], sigma)
-        weight: dict[int, int] = {}
-        mean: dict[int, float] = {}
-        for x, r in zip(lines, ratio, strict=True):
-            weight[x.region] = weight.get(x.region, 0) + len(x.text)
-            mean[x.region] = mean.get(x.region, 0.0) + len(x.text) * r
-        mean = {k: v / weight[k] for k, v in mean.items()}
-        threshold = share * max(mean.values())
-        lines = [x for x in lines if mean[x.region] >= threshold]
+    lines = content(parser.lines, parser.nodes, sigma, share) if parser.lines else []
     return "\n\n".join(x.text for x in lines)
 
 

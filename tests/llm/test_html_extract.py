@@ -45,5 +45,27 @@ def test_table(spark):
     assert extract(pages.limit(0)).collect() == []
 
 
+LONG = ["".join(f"{w} {k} of paragraph text that goes on for a while, " for k in range(8)).strip() for w in ("First", "Second", "Third")]
+
+
+def test_a_teaser_article_does_not_replace_the_main_text():
+    teaser = "<article class='card'><h3>Another story</h3><p>A teaser of some words about it.</p></article>"
+    body = "".join(f"<div><p>{p}</p></div>" for p in LONG)
+    for html in (page(f"<div id='c'>{body}</div>", after=teaser), page(f"<div id='c'>{body}</div>", before=teaser)):
+        found = main_text(html).split("\n\n")
+        assert [p for p in found if p in LONG] == LONG
+
+
+def test_link_blocks_in_an_article_go_and_its_short_lines_stay():
+    links = "<div><p>See</p><ul>" + "".join(f"<li><a href='/{k}'>Link number {k}</a></li>" for k in range(9)) + "</ul></div>"
+    html = f"<article><h1>Head</h1><p>{LONG[0]}</p>{links}<p>{LONG[1]}</p><div><p>Short.</p></div><ul><li>one</li><li>two</li></ul></article>"
+    assert main_text(page(html)).split("\n\n") == ["Head", LONG[0], LONG[1], "Short.", "one", "two"]
+
+
+def test_pages_of_links_and_deep_pages():
+    assert main_text("<ul><li><a>a</a><li><a>b</a><li><a>c</a></ul>") == "a\n\nb\n\nc"
+    assert main_text("<div>" * 3000 + f"<p>{LONG[0]}</p>" + "<p>x</p>" * 3000).startswith(LONG[0])
+
+
 def test_smoothing_keeps_constants():
     assert all(abs(v - 3.0) < 1e-12 for v in smoothed([3.0] * 7, 1.5))
