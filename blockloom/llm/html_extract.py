@@ -6,8 +6,10 @@ are never content (navigation, adverts, forms, comments and the like) are
 skipped while parsing.  The ratio of text to tags of each line is smoothed by a
 Gaussian over the lines around it, on every page.  Lines, and regions - the lines
 of one container - whose smoothed ratio reaches a share of the best region's are
-content, and so is what shares their container or article; blocks that are mostly
-links go.  An article element is a weight on its lines' ratio where
+content.  Content lines are then clustered: what shares their container or
+article, or lies between two of them at one depth, stays with them, so that
+lists, table cells and short paragraphs within content are not lost; blocks that
+are mostly links go.  An article element is a weight on its lines' ratio where
 it holds most of the page's text, not a condition.
 """
 
@@ -32,6 +34,8 @@ BLOCKS = frozenset(
 CONTAINERS = frozenset("body main article section div table ul ol td".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ARTICLES = frozenset(["article", "main"])
+HOLDERS = CONTAINERS - frozenset("table ul ol td".split())  # lists and tables belong to what holds them
+LONG = 300  # characters from which a line is no more likely to be prose
 LINKS = 3  # links from which a block of mostly link text is a list of links
 ARTICLE_WEIGHT = 2.0
 # Words in class, id and role that mark what is not content.
@@ -158,7 +162,7 @@ def content(lines: list[Line], nodes: list[tuple[str, int]], sigma: float, share
     """The lines of the clusters around those that stand out by their smoothed ratio of text to tags."""
     plain = [max(0, len(x.text) - x.link) for x in lines]
     marked = 2 * sum(n for x, n in zip(lines, plain, strict=True) if x.article) >= sum(plain)
-    ratio = [n / (1 + x.tags) * (ARTICLE_WEIGHT if marked and x.article else 1.0) for x, n in zip(lines, plain, strict=True)]
+    ratio = [min(n, LONG) / (1 + x.tags) * (ARTICLE_WEIGHT if marked and x.article else 1.0) for x, n in zip(lines, plain, strict=True)]
     smooth = smoothed(ratio, sigma)
 
     weight: dict[int, int] = {}
@@ -171,8 +175,10 @@ def content(lines: list[Line], nodes: list[tuple[str, int]], sigma: float, share
     if not threshold:  # nothing but links
         return lines
 
-    article = [-1]  # of each node: the article that it is or lies in
+    holder, depth, article = [0], [0], [-1]  # of each node: the container its lists and tables lie in, its depth, its article
     for k, (tag, parent) in enumerate(nodes[1:], 1):
+        holder.append(k if tag in HOLDERS else holder[parent])
+        depth.append(depth[parent] + 1)
         article.append(k if tag in ARTICLES else article[parent])
 
     strong = [min(r, s) >= threshold for r, s in zip(ratio, smooth, strict=True)]
@@ -193,13 +199,19 @@ def content(lines: list[Line], nodes: list[tuple[str, int]], sigma: float, share
     whole = {node for node, value in mean.items() if value >= threshold}
     for k, x in enumerate(lines):
         if strong[k]:
-            whole.update((x.node, article[x.node]))
+            whole.update((holder[x.node], article[x.node]))
     inside = [node in whole for node in range(len(nodes))]
     page = {0} | {k for k, (tag, _) in enumerate(nodes) if tag == "body"}  # containers directly in the page stand for themselves
     for k, (_, parent) in enumerate(nodes[1:], 1):
-        inside[k] = inside[k] or (inside[parent] and parent not in page)
+        inside[k] = inside[k] or (inside[parent] and (parent not in page or holder[k] == parent))
 
     kept = [inside[x.node] or s >= threshold for x, s in zip(lines, smooth, strict=True)]
+    last = None
+    for k, x in enumerate(lines):
+        if strong[k]:
+            if last is not None and depth[holder[lines[last].node]] == depth[holder[x.node]]:
+                kept[last:k] = [True] * (k - last)
+            last = k
     menu = [links[x.node] or (not good and x.links >= LINKS and 2 * x.link > len(x.text)) for x, good in zip(lines, strong, strict=True)]
     return [x for x, stays, link in zip(lines, kept, menu, strict=True) if stays and not link]
 

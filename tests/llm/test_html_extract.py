@@ -62,6 +62,25 @@ def test_link_blocks_in_an_article_go_and_its_short_lines_stay():
     assert main_text(page(html)).split("\n\n") == ["Head", LONG[0], LONG[1], "Short.", "one", "two"]
 
 
+def test_lists_and_tables_without_an_article_stay():
+    links = "<div><ul>" + "".join(f"<li><a href='/{k}'>Link {k}</a></li>" for k in range(9)) + "</ul></div>"
+    items = [f"A list item, number {k}" for k in range(6)]
+    cells = [f"cell {k}" for k in range(9)]
+    ul = "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>"
+    table = "<table>" + "".join("<tr>" + "".join(f"<td>{x}</td>" for x in cells[k : k + 3]) + "</tr>" for k in (0, 3, 6)) + "</table>"
+    prose = "".join(f"<p>{p}</p>" for p in LONG)
+    for block, want in ((ul, items), (table, cells), (f"<div>{ul}</div>", items)):
+        assert main_text(page(f"<div id='c'>{prose}{block}</div>", links, links)).split("\n\n") == LONG + want
+    rows = "".join(f"<div><p>{p}</p></div><div><p>Yes.</p><p>No.</p><p>Or so.</p><p>Well.</p><p>Fine.</p></div>" for p in LONG[:2]) + f"<div>{LONG[2]}</div>"
+    found = main_text(page(f"<div id='c'>{rows}</div>", links, links)).split("\n\n")
+    assert found == [x for p in LONG[:2] for x in (p, "Yes.", "No.", "Or so.", "Well.", "Fine.")] + LONG[2:]
+
+
+def test_one_very_long_line_does_not_outweigh_others():
+    html = page(f"<div><p>{'long ' * 5000}</p></div><div>" + "".join(f"<p>{p}</p>" for p in LONG * 2) + "</div>")
+    assert main_text(html).split("\n\n")[1:] == LONG * 2
+
+
 def test_pages_of_links_and_deep_pages():
     assert main_text("<ul><li><a>a</a><li><a>b</a><li><a>c</a></ul>") == "a\n\nb\n\nc"
     assert main_text("<div>" * 3000 + f"<p>{LONG[0]}</p>" + "<p>x</p>" * 3000).startswith(LONG[0])
