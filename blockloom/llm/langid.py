@@ -41,19 +41,30 @@ def train_dictionaries(
 ) -> dict[str, bytes]:
     """Dictionary text of each language of ``labelled`` (rows with a null text or label are left out).
 
-    A bounded sample: for each language the ``texts_per_lang`` texts with the
-    smallest hash, the first ``chars_per_text`` characters of each, and at most
-    ``bytes_per_lang`` bytes.  The rank limit is applied before the shuffle.
+    A bounded sample: for each language the ``texts_per_lang`` distinct texts
+    with the smallest hash, the first ``chars_per_text`` characters of each, and
+    at most ``bytes_per_lang`` bytes.  Texts with the same words are copies and
+    take one place, however many there are.  Only hashes are shuffled to choose
+    the sample; copies are merged and the rank limit is applied before that.
     """
-    order = Window.partitionBy("lang").orderBy("h", "text")
-    sample = (
+    words = F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{No}\p{Nl}]+", " "))  # as in plain()
+    hashed = (
         labelled.select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, chars_per_text).alias("text"))
         .filter("lang is not null and text rlike '\\\\p{L}'")
-        .withColumn("h", F.xxhash64("text"))
-        .withColumn("k", F.row_number().over(order))
+        .withColumn("h", F.xxhash64(words))
+    )
+    chosen = (
+        hashed.groupBy("lang", "h")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
         .filter(F.col("k") <= texts_per_lang)
-        .select("lang", "k", "text")
-        .collect()  # at most texts_per_lang rows a language
+        .select("lang", "h", "k")
+    )
+    sample = (
+        hashed.join(F.broadcast(chosen), ["lang", "h"])  # at most texts_per_lang rows a language
+        .groupBy("lang", "k")
+        .agg(F.min("text").alias("text"))
+        .collect()
     )
     texts: dict[str, list[str]] = {}
     for row in sorted(sample):

@@ -23,6 +23,19 @@ def test_held_out_accuracy_and_unknown(spark, docs, corpus, make_text):
     assert all(len(v) == 1 for v in by_text.values())  # copies get equal results
 
 
+def test_a_large_group_of_copies_takes_one_place(spark, make_text):
+    rng = random.Random(5)
+    texts = [make_text(rng, "en", 30) for _ in range(100)]
+    frame = lambda rows: spark.createDataFrame([(t, "en") for t in rows], "text string, lang string")
+    learned = langid.train_dictionaries(frame(texts), texts_per_lang=50)["en"].decode()
+    chosen = [t for t in texts if langid.plain(t) in learned]
+    assert len(chosen) == 50
+    by_hash = frame(texts).selectExpr("text", "xxhash64(text) h").orderBy("h").first().text
+    first = next(t for t in chosen if learned.startswith(langid.plain(t)))
+    for copies in ([first] * 1000, [by_hash] * 1000, [f"{k} {first}!" for k in range(1000)]):
+        assert langid.train_dictionaries(frame(texts + copies), texts_per_lang=50)["en"].decode() == learned
+
+
 def test_nothing_learned_and_empty(docs, no_docs):
     assert {r.lang_pred for r in langid.identify(docs, {}).collect()} == {"und"}
     assert langid.train_dictionaries(no_docs) == {}
