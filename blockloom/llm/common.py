@@ -32,6 +32,24 @@ def bucket_of(col: str, modulus: int):
     return F.coalesce(F.crc32(F.col(col).cast("string")) % modulus, F.lit(-1))
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark parses it, whatever it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def own_columns(df: DataFrame) -> list:
+    """The columns of ``df``, to select after others were joined to it."""
+    return [F.col(quoted(c)) for c in df.columns]
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, or with a number behind it, such that no column of ``df`` has the name (Spark ignores case)."""
+    taken, name, k = {c.lower() for c in df.columns}, wanted, 0
+    while name.lower() in taken:
+        name, k = f"{wanted}_{k}", k + 1
+    return name
+
+
 class Scratch:
     """Tables of one run in the shared folder.
 

@@ -10,10 +10,10 @@ digest holds a bounded share of the rows and goes through an ordinary shuffle of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import WS, Scratch
+from blockloom.llm.common import WS, Scratch, free_name, own_columns, quoted
 
 
 def text_digest(text_col: str):
@@ -28,17 +28,17 @@ def exact_dedup(
     tracked: int = 2048,
     tracked_top: int = 256,
 ) -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept, text_sha256, n_same_id.
+    """One row per input row: id, keep_id, group_size, kept, text_sha256.
 
     The row with the smallest id of equal texts stays (a null id is the
     smallest).  Rows that repeat both id and text count as copies of each other:
-    exactly one of them is kept, and ``n_same_id`` says how many there are.  A
-    null text equals the empty one.  An empty table gives an empty result.
+    exactly one of them is kept.  A null text equals the empty one.  An empty
+    table gives an empty result; further columns of any name are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact")
     rows = scratch.save(
-        docs.select(F.col(id_col).alias("id"), text_digest(text_col).alias("text_sha256")).withColumn(
+        docs.select(F.col(quoted(id_col)).alias("id"), text_digest(quoted(text_col)).alias("text_sha256")).withColumn(
             "rid", F.monotonically_increasing_id()
         ),
         "digests",
@@ -55,61 +55,41 @@ def exact_dedup(
         .filter(F.col("t.count") >= max(16, total // (4 * tracked)))
         .select(F.col("t.item").alias("text_sha256"))
     )
+    first = F.min(F.struct("id", "rid")).alias("first")
     winners = scratch.save(
-        rows.join(F.broadcast(candidates), "text_sha256")
-        .groupBy("text_sha256")
-        .agg(
-            F.count(F.lit(1)).alias("group_size"),
-            F.min(F.struct("id", "rid")).alias("first"),
-        )
-        .filter(F.col("group_size") >= 16),
+        rows.join(F.broadcast(candidates), "text_sha256").groupBy("text_sha256").agg(F.count(F.lit(1)).alias("group_size"), first).filter(F.col("group_size") >= 16),
         "winners",
     )
-    repeats = (
-        rows.join(F.broadcast(winners), "text_sha256")
-        .filter(F.col("id").eqNullSafe(F.col("first.id")))
-        .groupBy("text_sha256")
-        .agg(F.count(F.lit(1)).alias("n_same_id"))
+    frequent = rows.join(F.broadcast(winners), "text_sha256")
+    rest = rows.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti")
+    # counted map-side first; only digests that come twice or more are joined back, and a hot one's rows can be split
+    groups = rest.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("group_size"), first).filter(F.col("group_size") > 1)
+    rare = rest.join(groups, "text_sha256", "left").select(
+        "id", "text_sha256", "rid", F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), F.coalesce("first", F.struct("id", "rid")).alias("first")
     )
-    heavy = F.broadcast(winners.join(repeats, "text_sha256"))
-    frequent = rows.join(heavy, "text_sha256").select(
-        "id",
-        F.col("first.id").alias("keep_id"),
-        "group_size",
-        (F.col("rid") == F.col("first.rid")).alias("kept"),
-        "text_sha256",
-        "n_same_id",
+    return (
+        frequent.select(*rare.columns)
+        .unionByName(rare)
+        .select(F.col("id").alias(id_col), F.col("first.id").alias("keep_id"), "group_size", (F.col("rid") == F.col("first.rid")).alias("kept"), "text_sha256")
     )
-    group = Window.partitionBy("text_sha256")
-    rare = (
-        rows.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti")
-        .withColumn("first", F.min(F.struct("id", "rid")).over(group))
-        .select(
-            "id",
-            F.col("first.id").alias("keep_id"),
-            F.count(F.lit(1)).over(group).alias("group_size"),
-            (F.col("rid") == F.col("first.rid")).alias("kept"),
-            "text_sha256",
-            F.sum(F.col("id").eqNullSafe(F.col("first.id")).cast("long")).over(group).alias("n_same_id"),
-        )
-    )
-    return frequent.unionByName(rare).withColumnRenamed("id", id_col)
 
 
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that exact_dedup keeps, with all their columns.
 
     Where ids are unique, the ids of the copies to drop are enough, and Spark
-    may broadcast them if they are few.  Where an id comes more than once, rows
-    are told apart by their digests too, and of rows that repeat id and text one
-    is kept.
+    may broadcast them if they are few.  Where an id, null included, comes more
+    than once, rows are told apart by their digests too, and of rows that repeat
+    id and text one is kept.  Nulls count as empty texts, an empty table gives
+    an empty one.
     """
     scratch = Scratch(docs.sparkSession, "exact-kept")
-    found = scratch.save(exact_dedup(docs, id_col, text_col).withColumnRenamed(id_col, "__id"), "decisions")
-    if found.groupBy("__id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
-        dropped = found.filter(~F.col("kept")).select("__id")
-        return docs.join(dropped, docs[id_col] == F.col("__id"), "left_anti")
-    kept = found.filter("kept").select("__id", F.col("text_sha256").alias("__sha"), F.col("n_same_id").alias("__n"))
-    rows = docs.join(kept, docs[id_col].eqNullSafe(F.col("__id")) & (text_digest(text_col) == F.col("__sha")))
-    once = rows.filter("__n = 1").select(*docs.columns)
-    return once.unionByName(rows.filter("__n > 1").dropDuplicates(["__id", "__sha"]).select(*docs.columns))
+    at, sha, n = (free_name(docs, x) for x in ("kept_id", "kept_sha", "n_rows"))
+    found = exact_dedup(docs, id_col, text_col).select(F.col(quoted(id_col)).alias(at), F.col("text_sha256").alias(sha), "kept")
+    found = scratch.save(found, "decisions")
+    if found.groupBy(at).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        return docs.join(found.filter(~F.col("kept")).select(at), docs[quoted(id_col)] == F.col(at), "left_anti")
+    kept = found.groupBy(at, sha).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias(n)).filter("kept").drop("kept")
+    rows = docs.join(kept, docs[quoted(id_col)].eqNullSafe(F.col(at)) & (text_digest(quoted(text_col)) == F.col(sha)))
+    once = rows.filter(F.col(n) == 1).select(*own_columns(docs))
+    return once.unionByName(rows.filter(F.col(n) > 1).dropDuplicates([at, sha]).select(*own_columns(docs)))

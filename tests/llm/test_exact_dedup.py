@@ -44,3 +44,17 @@ def test_repeated_rows_nulls_and_empty(spark, no_docs):
     assert exact_dedup(no_docs).collect() == [] and keep_first_copies(no_docs).collect() == []
     unique = spark.createDataFrame([(3, "a b"), (1, "c"), (2, "a\tb"), (None, "c"), (5, None)], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.text) for r in keep_first_copies(unique).collect() if r.text) == [(0, "c"), (2, "a\tb")]
+
+
+def test_names_that_clash_and_dots(spark):
+    df = spark.createDataFrame([(1, "a b", "x", 1, 5), (2, "a  b", "y", 2, 6), (3, None, "z", 3, 7), (3, "c", "w", 4, 8)], "doc_id long, text string, `a.b` string, kept_id int, KEPT_SHA int")
+    for rows, want in ((df, ["w", "x", "z"]), (df.filter("text is not null"), ["w", "x"])):
+        found = keep_first_copies(rows)
+        assert found.columns == df.columns and sorted(r["a.b"] for r in found.collect()) == want
+
+
+def test_a_digest_that_is_not_among_the_winners_is_counted_map_side(spark):
+    rows = [(k, "hot") for k in range(400)] + [(k, "warm") for k in range(400, 700)]
+    found = exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), tracked=8, tracked_top=1)
+    assert sorted((r.keep_id, r.group_size) for r in found.filter("kept").collect()) == [(0, 400), (400, 300)]
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
