@@ -33,8 +33,8 @@ def bucket_of(col: str, modulus: int):
 
 
 def quoted(name: str) -> str:
-    """A column's name as Spark parses it, whatever it holds."""
-    return "`" + name.replace("`", "``") + "`"
+    """A column's name as Spark parses it, dots included."""
+    return f"`{name}`"
 
 
 def own_columns(df: DataFrame) -> list:

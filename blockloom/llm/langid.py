@@ -7,23 +7,25 @@ dictionary gives the fewest bytes wins, and a narrow margin is a rejection.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from blockloom.llm.common import text_slices
+from blockloom.llm.common import quoted, text_slices
 
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+LETTER = regex.compile(r"\p{L}")
+NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
+LEAST_MARGIN = 0.0005  # relative excess of the second smallest size below which two languages fit equally well
 
-# Every dictionary ends with this mark, and a short text is compressed after it: the mark is one match in each
-# language, which makes the block worth compressing, so that even a few words show what they match.
+# Every dictionary ends with this mark and every chunk begins with it: it is one match in each language, which makes
+# the block worth compressing, so that even a few words show what they match.
 MARK = bytes(range(33, 65)) * 2
-SHORT = 256
+LEVEL = 7
 
 
 def plain(text: str) -> str:
@@ -38,18 +40,21 @@ def train_dictionaries(
     texts_per_lang: int = 96,
     chars_per_text: int = 2048,
     bytes_per_lang: int = 112 * 1024,
+    most_langs: int = 256,
 ) -> dict[str, bytes]:
     """Dictionary text of each language of ``labelled`` (rows with a null text or label are left out).
 
     A bounded sample: for each language the ``texts_per_lang`` distinct texts
-    with the smallest hash, the first ``chars_per_text`` characters of each, and
-    at most ``bytes_per_lang`` bytes.  Texts with the same words are copies and
-    take one place, however many there are.  Only hashes are shuffled to choose
-    the sample; copies are merged and the rank limit is applied before that.
+    with the smallest hash, of each a passage of ``chars_per_text`` characters
+    (all, if it has fewer) that starts where the hash says, and of the passages,
+    in order, those that fit into ``bytes_per_lang`` bytes.  Texts with the same
+    words are copies and take one place, however many there are.  Only hashes
+    are shuffled to choose the sample; copies are merged and the rank limit is
+    applied before that.  More than ``most_langs`` labels are an error.
     """
-    words = F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{No}\p{Nl}]+", " "))  # as in plain()
+    words = F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{M}]+", " "))  # as in plain()
     hashed = (
-        labelled.select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, chars_per_text).alias("text"))
+        labelled.select(F.col(quoted(lang_col)).alias("lang"), F.col(quoted(text_col)).alias("text"))
         .filter("lang is not null and text rlike '\\\\p{L}'")
         .withColumn("h", F.xxhash64(words))
     )
@@ -60,33 +65,38 @@ def train_dictionaries(
         .filter(F.col("k") <= texts_per_lang)
         .select("lang", "h", "k")
     )
+    start = F.pmod(F.col("h"), F.greatest(F.lit(1), F.length("text") - chars_per_text + 1)) + 1
     sample = (
         hashed.join(F.broadcast(chosen), ["lang", "h"])  # at most texts_per_lang rows a language
         .groupBy("lang", "k")
-        .agg(F.min("text").alias("text"))
+        .agg(F.min(F.substring("text", start, F.lit(chars_per_text))).alias("text"))
+        .limit((most_langs + 1) * texts_per_lang)
         .collect()
     )
+    if len({r.lang for r in sample}) > most_langs:
+        raise ValueError(f"more than {most_langs} languages: raise most_langs")
     texts: dict[str, list[str]] = {}
     for row in sorted(sample):
-        if (text := plain(row.text)) not in texts.setdefault(row.lang, []):
-            texts[row.lang].append(text)
-    return {lang: "".join(t).encode()[-bytes_per_lang:] for lang, t in sorted(texts.items())}
+        found = texts.setdefault(row.lang, [])
+        text = plain(row.text)
+        if text not in found and sum(len(t.encode()) for t in [*found, text]) <= bytes_per_lang:
+            found.append(text)
+    return {lang: "".join(t).encode() for lang, t in sorted(texts.items())}
 
 
 class Classifier:
-    """Compresses a text with every dictionary; texts below ``fine_below`` bytes at a higher level, as each byte counts there."""
+    """Compresses a text, in chunks, with every dictionary."""
 
-    def __init__(self, dictionaries: dict[str, bytes], level: int = 7, fine_level: int = 12, fine_below: int = 1024, chunk: int = 2048):
+    def __init__(self, dictionaries: dict[str, bytes], level: int = LEVEL, chunk: int = 2048):
         self.langs = list(dictionaries)
-        self.chunk, self.fine_below = chunk, fine_below
+        self.chunk = chunk
         self.engines = [self.engine(data, level) for data in dictionaries.values()]
-        self.fine = [self.engine(data, fine_level) for data in dictionaries.values()]
 
     def engine(self, data: bytes, level: int):
         import zstandard as z
 
         params = z.ZstdCompressionParameters.from_level(
-            level, dict_size=1 << 17, source_size=self.chunk, write_content_size=False, write_checksum=False, write_dict_id=False
+            level, dict_size=1 << 17, source_size=self.chunk + len(MARK), write_content_size=False, write_checksum=False, write_dict_id=False
         )
         raw = z.ZstdCompressionDict(data + MARK, dict_type=z.DICT_TYPE_RAWCONTENT)
         raw.precompute_compress(compression_params=params)
@@ -94,11 +104,8 @@ class Classifier:
 
     def sizes(self, text: str) -> list[int]:
         data = plain(text).encode("utf-8", "replace")
-        engines = self.fine if len(data) < self.fine_below else self.engines
-        if len(data) < SHORT:
-            data = MARK + data
-        chunks = [data[i : i + self.chunk] for i in range(0, len(data), self.chunk)]
-        return [sum(len(e.compress(c)) for c in chunks) for e in engines]
+        chunks = [MARK + data[i : i + self.chunk] for i in range(0, len(data), self.chunk)]
+        return [sum(len(e.compress(c)) for c in chunks) for e in self.engines]
 
     def __call__(self, text: str | None, least_margin: float) -> tuple[str, float, float, bool]:
         if not text or not self.langs or not LETTER.search(text):
@@ -114,7 +121,7 @@ class Classifier:
 def identify(
     docs: DataFrame,
     dictionaries: dict[str, bytes],
-    least_margin: float = 0.0,
+    least_margin: float = LEAST_MARGIN,
     text_col: str = "text",
     prefix: str = "lang_",
 ) -> DataFrame:
@@ -124,12 +131,13 @@ def identify(
     for any text if nothing was learned.  Ties go to the language first by code
     point; their margin is 0.  ``lang_margin`` is the relative excess of the
     second smallest size; texts below ``least_margin`` are rejected.  Every row
-    is classified by itself, so repeated rows get equal results.
+    is classified by itself, so repeated rows get equal results; an empty table
+    gives an empty result.  Texts are compressed whole, at one level.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(dictionaries)  # bounded: see train_dictionaries
     names = [f"{prefix}{x}" for x in ("pred", "score", "margin", "rejected")]
-    own = [c for c in docs.columns if c not in names]
+    own = [c for c in docs.columns if c.lower() not in {n.lower() for n in names}]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classify = Classifier(shared.value)
@@ -142,6 +150,7 @@ def identify(
                 part = rows.slice(start, end - start)
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], [*own, *names])
 
-    sent = docs.select(*[f"`{c}`" for c in own])
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sent.schema)
-    return sent.mapInArrow(run, ", ".join([fields, *(f"`{n}` {kind}" for n, kind in zip(names, ("string", "double", "double", "boolean"), strict=True))]))
+    sent = docs.select(*map(quoted, own))
+    kinds = ("string", "double", "double", "boolean")
+    schema = StructType(sent.schema.fields + [f for n, kind in zip(names, kinds, strict=True) for f in StructType().add(n, kind).fields])
+    return sent.mapInArrow(run, schema)

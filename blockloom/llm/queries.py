@@ -20,7 +20,7 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     learned = langid.train_dictionaries(docs.filter(bucket_of("doc_id", 3) != 1))
     rows = docs.select("doc_id", "text").withColumn("held_out", bucket_of("doc_id", 3) == 1)
     found = langid.identify(rows, learned)
-    return found.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"), F.col("lang_margin").alias("margin"))
+    return found.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"), F.col("lang_margin").alias("margin"), F.col("lang_rejected").alias("rejected"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
