@@ -3,13 +3,12 @@
 Texts are cut into pre-tokens at places that no vocabulary piece spans, so
 merging each alone gives the whole text's pieces.  The distinct pre-tokens of a
 batch lie end to end in flat numpy arrays; each round finds every sequence's
-best pair and merges it in all sequences at once, until none is left.  What
-survives is counted.
+best pair and merges it in all sequences at once, until none is left, however
+long a sequence is.  What survives is counted.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections.abc import Iterable, Iterator
 
@@ -18,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import text_slices
+from blockloom.llm.common import quoted, text_slices
 
 SPACE = "▁"  # the vocabulary's mark for a space
 NORMAL = 1  # piece type in the model file
@@ -67,7 +66,12 @@ class MergeTable:
 
 
 def merge_together(sequences: list[list[int]], table: MergeTable) -> np.ndarray:
-    """Symbols left of each sequence.  In a round every sequence merges its best pair, leftmost first."""
+    """Symbols left of each sequence.
+
+    In a round every sequence merges its best pair wherever it stands, from left
+    to right, up to the first place where the merged symbol makes a pair with a
+    neighbour that is as good or better: one by one, that pair would come next.
+    """
     lengths = np.array([len(s) for s in sequences], dtype=np.int64)
     symbol = np.fromiter((x for s in sequences for x in s), dtype=np.int64, count=int(lengths.sum()))
     owner = np.repeat(np.arange(len(sequences)), lengths)
@@ -90,13 +94,23 @@ def merge_together(sequences: list[list[int]], table: MergeTable) -> np.ndarray:
             best = best[live]
         spans = np.diff(np.r_[starts, len(symbol)])
         hit = np.flatnonzero(rank == np.repeat(best, spans))
-        first = hit[np.r_[True, owner[hit[1:]] != owner[hit[:-1]]]]
-        symbol[first] = made[first]
-        left[owner[first]] -= 1
+        run = np.flatnonzero(np.r_[True, np.diff(hit) > 1])  # of hits that overlap in a row, every second one
+        hit = hit[(hit - np.repeat(hit[run], np.diff(np.r_[run, len(hit)]))) % 2 == 0]
+        last = len(symbol) - 1
+        before, after = np.maximum(hit - 1, 0), np.minimum(hit + 2, last)
+        follows = np.r_[False, hit[1:] - hit[:-1] == 2]  # the symbol before was merged in this round too
+        one_before = np.where(follows, made[np.maximum(hit - 2, 0)], symbol[before])
+        better = np.where((hit > 0) & (owner[before] == owner[hit]), table.look_up(one_before, made[hit])[0], NEVER) <= rank[hit]
+        better |= np.where((hit + 2 <= last) & (owner[after] == owner[hit]), table.look_up(made[hit], symbol[after])[0], NEVER) <= rank[hit]
+        stops = np.cumsum(better) - better  # places before this one where merging stops
+        first = np.flatnonzero(np.r_[True, owner[hit[1:]] != owner[hit[:-1]]])
+        hit = hit[stops == np.repeat(stops[first], np.diff(np.r_[first, len(hit)]))]
+        symbol[hit] = made[hit]
+        np.subtract.at(left, owner[hit], 1)
         stay = np.ones(len(symbol), dtype=bool)
-        stay[first + 1] = False
+        stay[hit + 1] = False
         symbol, owner, rank, made = symbol[stay], owner[stay], rank[stay], made[stay]
-        now = first - np.arange(len(first))  # where the merged symbols are now
+        now = hit - np.arange(len(hit))  # where the merged symbols are now
         for at in (now, now - 1):
             at = at[at >= 0]
             inside = (at + 1 < len(symbol)) & (owner[np.minimum(at + 1, len(symbol) - 1)] == owner[at])
@@ -106,40 +120,6 @@ def merge_together(sequences: list[list[int]], table: MergeTable) -> np.ndarray:
     return left
 
 
-def merge_alone(sequence: list[int], table: MergeTable) -> int:
-    """The same for one very long sequence, by a heap of pairs."""
-    symbol: list[int | None] = list(sequence)
-    after = list(range(1, len(symbol) + 1))
-    before = list(range(-1, len(symbol) - 1))
-    heap: list[tuple[int, int, int, int]] = []
-
-    def push(i: int) -> None:
-        j = after[i]
-        if j < len(symbol) and (found := table.pairs.get(symbol[i] * table.size + symbol[j])):
-            heapq.heappush(heap, (found[0], i, symbol[i], symbol[j]))
-
-    for i in range(len(symbol) - 1):
-        push(i)
-    count = len(symbol)
-    while heap:
-        _, i, a, b = heapq.heappop(heap)
-        j = after[i]
-        if symbol[i] != a or j >= len(symbol) or symbol[j] != b:
-            continue
-        symbol[i], symbol[j] = table.pairs[a * table.size + b][1], None
-        after[i] = after[j]
-        if after[j] < len(symbol):
-            before[after[j]] = i
-        count -= 1
-        push(i)
-        if before[i] >= 0:
-            push(before[i])
-    return count
-
-
-LONG = 400  # symbols from which a sequence is merged alone
-
-
 class TokenCounter:
     """Counts tokens; remembers up to ``remembered`` pre-tokens of this worker."""
 
@@ -160,12 +140,8 @@ class TokenCounter:
                     # a character outside the vocabulary falls back to its bytes
                     counts[token] += 1 if part in ids else len(part.encode("utf-8", "surrogatepass"))
                     continue
-                sequence = [ids[c] for c in part]
-                if len(sequence) >= LONG:
-                    counts[token] += merge_alone(sequence, self.table)
-                else:
-                    sequences.append(sequence)
-                    owners.append(token)
+                sequences.append([ids[c] for c in part])
+                owners.append(token)
         if sequences:
             for token, n in zip(owners, merge_together(sequences, self.table).tolist(), strict=True):
                 counts[token] += n
@@ -197,7 +173,8 @@ def count_tokens(docs: DataFrame, model_file: str, limit: int = 4096, id_col: st
 
     Counts are those of the vocabulary's own library without added tokens;
     strings that look like special tokens are ordinary text.  A null text is
-    empty: 0 bytes and 0 tokens.  Repeated rows give repeated results.
+    empty: 0 bytes and 0 tokens.  Repeated rows give repeated results, an empty
+    table an empty one; further columns of any name are ignored.
     ``model_file`` is a path that every worker can open.
     """
 
@@ -218,6 +195,6 @@ def count_tokens(docs: DataFrame, model_file: str, limit: int = 4096, id_col: st
                 )
 
     ids = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(quoted(id_col)).alias("id"), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("text"))
     counted = rows.mapInArrow(run, f"id {ids}, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit).withColumnRenamed("id", id_col)

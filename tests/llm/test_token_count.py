@@ -4,7 +4,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 
-from blockloom.llm.token_count import TokenCounter, count_tokens, merge_alone, merge_together
+from blockloom.llm.token_count import TokenCounter, count_tokens, merge_together
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -29,11 +29,34 @@ def test_awkward_texts(library):
     assert TokenCounter(MODEL).count(texts) == [len(library.encode(t)) for t in texts]
 
 
-def test_long_and_short_ways_agree():
+def one_by_one(sequence, table):
+    """Plain search: merge the best pair, leftmost first, until none is left."""
+    s = list(sequence)
+    while True:
+        found = [(*table.pairs[key], i) for i in range(len(s) - 1) if (key := s[i] * table.size + s[i + 1]) in table.pairs]
+        if not found:
+            return len(s)
+        _, made, i = min(found, key=lambda f: (f[0], f[2]))
+        s[i : i + 2] = [made]
+
+
+def test_rounds_equal_one_merge_at_a_time():
     table, rng = TokenCounter(MODEL).table, random.Random(2)
-    letters = [table.ids[c] for c in "abcdefghinorst▁"]
-    sequences = [[rng.choice(letters) for _ in range(rng.randint(1, 60))] for _ in range(200)]
-    assert merge_together(sequences, table).tolist() == [merge_alone(s, table) for s in sequences]
+    for alphabet in ("abcdefghinorst▁", "ab", "aeinst", "0123456789", "-=_"):
+        letters = [table.ids[c] for c in alphabet]
+        sequences = [[rng.choice(letters) for _ in range(rng.randint(1, 60))] for _ in range(150)] + [[letters[0]] * n for n in range(1, 40)]
+        assert merge_together(sequences, table).tolist() == [one_by_one(s, table) for s in sequences]
+
+
+def test_long_sequences(library):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)) for n in (399, 400, 5000, 30_000)] + ["ab" * 20_000, "=" * 30_000, "einst" * 3000]
+    assert TokenCounter(MODEL).count(texts) == [len(library.encode(t)) for t in texts]
+
+
+def test_repeated_rows_and_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "some words", 1, 2)] * 2 + [(None, None, 1, 2)], "doc_id long, text string, id int, n_tokens int")
+    assert sorted((r.doc_id or 0, r.n_bytes, r.n_tokens) for r in count_tokens(df, MODEL).collect()) == [(0, 0, 0), (1, 10, 2), (1, 10, 2)]
 
 
 def test_forgetting_changes_nothing(library):
