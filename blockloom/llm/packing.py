@@ -21,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.common import Scratch, text_slices
+from blockloom.llm.common import Scratch, quoted, text_slices
 
-GROUP_BITS = 40  # sequence_id is the group's number in the upper bits, a count within it below
+GROUP_BITS, PART_BITS = 40, 20  # sequence_id: the group's number, its part, a count within that, from upper bits to lower
 
 
 class OpenWindows:
@@ -85,7 +85,9 @@ class WordTokens:
     """Token ids of texts, a white-space separated word at a time.
 
     The vocabulary drops white space, never joins across it and folds case, so
-    a lower-cased text's ids are its words' ids in order.  Punctuation that ends
+    a lower-cased text's ids are its words' ids in order.  Only words that hold
+    an added token in whatever case go to the library as they are, because it
+    looks for those before it folds case.  Punctuation that ends
     a word after a letter is a word of its own to the vocabulary, so the ids of
     such a word are those of its two parts.  Words seen lately are remembered in
     two generations; the older one goes when the younger is full.
@@ -100,6 +102,8 @@ class WordTokens:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        added = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile(b"|".join(map(re.escape, added))) if added else None
         self.remembered = remembered
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
@@ -131,8 +135,15 @@ class WordTokens:
             self.young.update((w.encode(), np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(part, found, strict=True))
         self.young.update([(w, self.young[core] + self.young[end]) for w, core, end in parts])
 
+    def words(self, text: str) -> list[bytes]:
+        data = text.encode("utf-8", "replace")
+        low = data.lower()
+        if self.added and self.added.search(low):
+            return [w if self.added.search(w.lower()) else w.lower() for w in data.split()]
+        return low.split()
+
     def encode(self, texts: list[str], last: int) -> list[np.ndarray]:
-        words = [t.encode("utf-8", "replace").lower().split() for t in texts]
+        words = [self.words(t) for t in texts]
         if len(self.young) > self.remembered:
             self.old, self.young = self.young, {}
         self.learn(set().union(*words).difference(self.young))
@@ -153,25 +164,27 @@ def cut_documents(docs: DataFrame, tokenizer_file: str, window: int, end_id: int
         tokens = _TOKENS.setdefault(tokenizer_file, None) or WordTokens(tokenizer_file)
         _TOKENS[tokenizer_file] = tokens
         gc.disable()  # the lists of words and pieces hold no cycles
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for begin, end in text_slices(texts, 6_000_000):
-                row, start, length, crc, total = [], [], [], [], []
-                for k, ids in enumerate(tokens.encode(texts[begin:end], end_id), begin):
-                    for at in range(0, len(ids), window):
-                        piece = ids[at : at + window]
-                        row.append(k)
-                        start.append(at)
-                        length.append(len(piece))
-                        crc.append(zlib.crc32(piece))
-                        total.append(len(ids))
-                columns = [batch.column("id").take(pa.array(row))]
-                columns += [pa.array(x, pa.int64()) for x in (start, length, crc, total)]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "start", "length", "ids_crc32", "doc_tokens"])
-        gc.enable()
+        try:
+            for batch in batches:
+                texts = batch.column("text").to_pylist()
+                for begin, end in text_slices(texts, 6_000_000):
+                    row, start, length, crc, total = [], [], [], [], []
+                    for k, ids in enumerate(tokens.encode(texts[begin:end], end_id), begin):
+                        for at in range(0, len(ids), window):
+                            piece = ids[at : at + window]
+                            row.append(k)
+                            start.append(at)
+                            length.append(len(piece))
+                            crc.append(zlib.crc32(piece))
+                            total.append(len(ids))
+                    columns = [batch.column("id").take(pa.array(row))]
+                    columns += [pa.array(x, pa.int64()) for x in (start, length, crc, total)]
+                    yield pa.RecordBatch.from_arrays(columns, ["id", "start", "length", "ids_crc32", "doc_tokens"])
+        finally:
+            gc.enable()
 
     ids = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(quoted(id_col)).alias("id"), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("text"))
     return rows.mapInArrow(run, f"id {ids}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
@@ -189,25 +202,37 @@ def pack(
     Every id of a document, its end id included, lies in exactly one piece, and
     the pieces of a sequence lie without gaps from offset 0.  A null or empty
     text is its end id alone.  Repeated rows are packed each; ties go by id and
-    start, so reruns agree.  A group holds about ``group_pieces`` pieces, so a
-    task's memory does not depend on the input; padding suffers only by one
-    partly filled window or so a group.
+    start, so reruns agree.  Further columns of any name are ignored, and an
+    empty table gives an empty result.  A group holds about ``group_pieces``
+    pieces: groups are drawn by a piece's content, and one that repeated rows
+    fill is dealt anew by row, so a task's memory does not depend on the input.
+    Padding suffers only by one partly filled window or so a group.
     """
     scratch = Scratch(docs.sparkSession, "pack")
-    pieces = scratch.save(cut_documents(docs, tokenizer_file, window, end_id, id_col, text_col), "pieces")
+    pieces = scratch.save(cut_documents(docs, tokenizer_file, window, end_id, id_col, text_col).withColumn("rid", F.monotonically_increasing_id()), "pieces")
     groups = max(1, -(-pieces.count() // group_pieces))
     kind = pieces.schema["id"].dataType.simpleString()
+    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.lit(groups)).cast("long"))
+    # a group several times as large as it should be holds repeated rows
+    full = scratch.save(
+        dealt.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 4 * group_pieces + 100).select("grp", F.ceil(F.col("n") / group_pieces).alias("parts")), "full"
+    )
+    if full.isEmpty():
+        dealt = dealt.withColumn("part", F.lit(0).cast("long"))
+    else:
+        dealt = dealt.join(full, "grp", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("rid"), F.col("parts")), F.lit(0).cast("long"))).drop("parts")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "id", "start"], ascending=[False, True, True], kind="stable")
+        pdf = pdf.sort_values(["length", "id", "start", "rid"], ascending=[False, True, True, True], kind="stable")
         sequence, offset = best_fit_decreasing(pdf["length"].tolist(), window)
-        pdf["sequence_id"] = pdf["grp"].astype("int64") * (1 << GROUP_BITS) + np.array(sequence, dtype=np.int64)
+        if max(sequence) >= 1 << PART_BITS or pdf["part"].iloc[0] >= 1 << (GROUP_BITS - PART_BITS):
+            raise OverflowError("more sequences or parts in a group than their bits hold")
+        pdf["sequence_id"] = pdf["grp"] * (1 << GROUP_BITS) + pdf["part"] * (1 << PART_BITS) + np.array(sequence, dtype=np.int64)
         pdf["offset"] = np.array(offset, dtype=np.int64)
-        return pdf.drop(columns="grp")
+        return pdf.drop(columns=["grp", "part", "rid"])
 
     return (
-        pieces.withColumn("grp", F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.lit(groups)).cast("int"))
-        .groupBy("grp")
+        dealt.groupBy("grp", "part")
         .applyInPandas(run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
         .withColumnRenamed("id", id_col)
     )

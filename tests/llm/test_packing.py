@@ -63,3 +63,27 @@ def test_repeated_rows_and_empty(spark, no_docs):
     rows = pack(spark.createDataFrame([(1, "same words"), (1, "same words"), (None, None)], "doc_id long, text string"), FILE).collect()
     assert sorted((r.offset, r.length) for r in rows) == [(0, 3), (3, 3), (6, 1)]
     assert pack(no_docs, FILE).collect() == []
+
+
+def test_added_tokens_in_any_case(spark):
+    texts = ["<|ENDOFTEXT|>", "<|endoftext|>", "x<|startOFtext|>y", "a <|startoftext|> B", "<|EndOfText|>. Next", "x<|endoftext|>y!", "<|endoftext|><|ENDOFTEXT|>", "A<B> | c"]
+    check(pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), FILE).collect(), dict(enumerate(texts)), 2048)
+
+
+def test_repeated_rows_spread_over_groups(spark):
+    rows = [(1, "the same words again")] * 3000 + [(k, f"word {k}") for k in range(2, 40)]
+    found = pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), FILE, window=64, group_pieces=20).collect()
+    assert len(found) == len(rows)
+    groups, sequences = defaultdict(int), defaultdict(list)
+    for r in found:
+        groups[r.sequence_id >> 20] += 1
+        sequences[r.sequence_id].append((r.offset, r.length))
+    assert max(groups.values()) <= 200
+    for pieces in sequences.values():
+        pieces.sort()
+        assert [o for o, _ in pieces] == [sum(n for _, n in pieces[:k]) for k in range(len(pieces))] and sum(n for _, n in pieces) <= 64
+
+
+def test_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "some words", 1, 2, 3, 4)], "doc_id long, text string, id int, grp int, part int, `a.b` int")
+    assert [r.length for r in pack(df, FILE).collect()] == [3]
