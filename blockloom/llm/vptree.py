@@ -18,9 +18,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockloom.llm.arrays import local_path, map_array, write_array
-from blockloom.llm.common import Scratch
+from blockloom.llm.common import Scratch, quoted
 
 LEAF = 64
+DIGITS = 12  # cosines, and components of unit vectors, that agree to so many places count as equal
+KINDS = ("points", "ids", "nodes", "ranges")
+SLACK = 1e-7  # what rounding can add to a small distance
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -34,13 +37,13 @@ def distance(cosine: np.ndarray) -> np.ndarray:
 
 
 class VPTree:
-    """Points in tree order; nodes as rows (start, end, vantage point, left child, right child) and ranges of distances."""
+    """Points and ids in tree order; nodes as rows (start, end, vantage point, left child, right child) and ranges of distances."""
 
-    def __init__(self, points: np.ndarray, order: np.ndarray, nodes: np.ndarray, ranges: np.ndarray):
-        self.points, self.order, self.nodes, self.ranges = points, order, nodes, ranges
+    def __init__(self, points: np.ndarray, ids: np.ndarray, nodes: np.ndarray, ranges: np.ndarray):
+        self.points, self.ids, self.nodes, self.ranges = points, ids, nodes, ranges
 
     @classmethod
-    def build(cls, points: np.ndarray) -> VPTree:
+    def build(cls, points: np.ndarray, ids: np.ndarray) -> VPTree:
         order = np.arange(len(points))
         nodes, ranges, todo = [[0, len(points), -1, -1, -1]], [[0.0] * 4], [0]
         while todo:
@@ -62,29 +65,39 @@ class VPTree:
             todo += [len(nodes), len(nodes) + 1]
             nodes += [[start, start + half, -1, -1, -1], [start + half, end, -1, -1, -1]]
             ranges += [[0.0] * 4, [0.0] * 4]
-        return cls(points, order, np.array(nodes, dtype=np.int64), np.array(ranges))
-
-    def search(self, queries: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int, factor: float) -> np.ndarray:
-        """Positions of each query's ``k`` nearest points, -1 where there are fewer; points with the query's own id are left out."""
-        best = np.full((len(queries), k), np.inf)
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        nodes = np.array(nodes, dtype=np.int64)
+        inner = nodes[:, 2] >= 0
+        nodes[inner, 2] = place[nodes[inner, 2]]
+        return cls(points[order], ids[order], nodes, np.array(ranges))
+
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int, factor: float) -> np.ndarray:
+        """Positions of each query's ``k`` nearest points, -1 where there are fewer; points with the query's own id are left out.
+
+        Cosines that agree to ``DIGITS`` places are ties, and the smaller id goes first.
+        """
+        best = np.full((len(queries), k), -np.inf)
         found = np.full((len(queries), k), -1, dtype=np.int64)
-        tree = self.points[self.order]
+        names = np.full((len(queries), k), np.iinfo(np.int64).max)
         todo = [(0, np.arange(len(queries)), np.zeros(len(queries)))]
         while todo:
             node, active, bound = todo.pop()
-            active = active[bound * factor <= best[active, -1] + 1e-9]  # the worst neighbour may be nearer by now
+            active = active[bound * factor <= distance(best[active, -1]) + SLACK]  # the worst neighbour may be nearer by now
             if not len(active):
                 continue
             start, end, vantage, left, right = self.nodes[node].tolist()
             if left < 0:
-                at = self.order[start:end]
-                d = distance(queries[active] @ tree[start:end].T)
-                d[own[active][:, None] == ids[at][None, :]] = np.inf
-                every = np.concatenate([best[active], d], axis=1)
-                where = np.concatenate([found[active], np.broadcast_to(at, d.shape)], axis=1)
-                top = np.argpartition(every, k - 1, axis=1)[:, :k]
-                top = np.take_along_axis(top, np.argsort(np.take_along_axis(every, top, 1), axis=1), 1)
-                best[active] = np.take_along_axis(every, top, 1)
+                c = np.round(queries[active] @ self.points[start:end].T, DIGITS)
+                ids = self.ids[start:end]
+                c[own[active][:, None] == ids[None, :]] = -np.inf
+                some = (c >= best[active, -1:]).any(axis=1)
+                active, c = active[some], c[some]
+                every = np.concatenate([best[active], c], axis=1)
+                where = np.concatenate([found[active], np.broadcast_to(np.arange(start, end), c.shape)], axis=1)
+                named = np.concatenate([names[active], np.broadcast_to(ids, c.shape)], axis=1)
+                top = np.lexsort((named, -every), axis=1)[:, :k]
+                best[active], names[active] = np.take_along_axis(every, top, 1), np.take_along_axis(named, top, 1)
                 found[active] = np.where(np.isinf(best[active]), -1, np.take_along_axis(where, top, 1))
                 continue
             d = distance(queries[active] @ self.points[vantage])
@@ -106,6 +119,13 @@ def usable(col: str) -> Column:
     )
 
 
+def direction(col: str) -> Column:
+    """The unit vector's components to ``DIGITS`` places, alike for multiples of one vector."""
+    scaled = F.transform(col, lambda x: x / F.array_max(F.transform(col, F.abs)))
+    length = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda total, x: total + x * x))
+    return F.transform(scaled, lambda x: F.round(x / length, DIGITS))
+
+
 def nearest(
     vectors: DataFrame,
     is_query: Column,
@@ -120,22 +140,24 @@ def nearest(
 
     Vectors that are null or zero or hold a null or non-finite component take no
     part, nor rows with a null id; vectors are compared with those of their own
-    length.  Repeated rows count once.  Of equal vectors only the k + 1 with the
-    smallest ids can be among a query's nearest others, so the rest are left out
-    of the index, which therefore holds no group larger than that.  All
-    candidates are returned where there are fewer than ``k``.
+    length.  Repeated rows count once.  Of vectors of one direction only the
+    k + 1 with the smallest ids can be among a query's nearest others, so the
+    rest are left out of the index, which therefore holds no group larger than
+    that.  Cosines that agree to 12 places are ties.  All candidates are returned
+    where there are fewer than ``k``, and none for an empty table; further
+    columns of any name are ignored.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "vp")
     folder = local_path(scratch.path("index"))
     rows = scratch.save(
-        vectors.filter(usable(vector_col) & F.col(id_col).isNotNull())
-        .select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("q"))
+        vectors.filter(usable(quoted(vector_col)) & F.col(quoted(id_col)).isNotNull())
+        .select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(vector_col)).cast("array<double>").alias("v"), is_query.alias("q"))
         .dropDuplicates(["id", "v"])
         .withColumn("dim", F.size("v")),
         "rows",
     )
-    equal = Window.partitionBy("v").orderBy("id")
+    equal = Window.partitionBy(direction("v")).orderBy("id")
     points = rows.withColumn("r", F.row_number().over(equal)).filter(F.col("r") <= k + 1).select("dim", "id", "v")
     points = scratch.save(points, "points")
     shards = max(1, -(-points.count() // shard_rows))
@@ -151,9 +173,9 @@ def nearest(
     def write_tree(found: pa.Table) -> pa.Table:
         name = f"{found.column('dim')[0].as_py()}-{found.column('part')[0].as_py()}"
         ids, v = arrays(found)
-        tree = VPTree.build(unit(v))
-        for kind, x in (("ids", ids), ("points", tree.points), ("order", tree.order), ("nodes", tree.nodes), ("ranges", tree.ranges)):
-            write_array(folder, f"{kind}-{name}", x)
+        tree = VPTree.build(unit(v), ids)
+        for kind in KINDS:
+            write_array(folder, f"{kind}-{name}", getattr(tree, kind))
         return found.select(["dim", "part"]).slice(0, 1)
 
     def write_block(found: pa.Table) -> pa.Table:
@@ -174,13 +196,14 @@ def nearest(
         for batch in batches:
             for r in batch.to_pylist():
                 shard, block = f"{r['dim']}-{r['shard']}", f"{r['dim']}-{r['block']}"
-                ids, own, q = map_array(folder, f"ids-{shard}"), map_array(folder, f"queryids-{block}"), map_array(folder, f"queries-{block}")
-                tree = VPTree(*(map_array(folder, f"{kind}-{shard}") for kind in ("points", "order", "nodes", "ranges")))
-                at = tree.search(q, own, ids, min(len(ids), k + 11), factor)
+                own, q = map_array(folder, f"queryids-{block}"), map_array(folder, f"queries-{block}")
+                tree = VPTree(*(map_array(folder, f"{kind}-{shard}") for kind in KINDS))
+                ids = tree.ids
+                at = tree.search(q, own, min(len(ids), k + 11), factor)
                 rows, cols = np.nonzero(at >= 0)
                 at = at[rows, cols]
                 cosine = (q[rows] * tree.points[at]).sum(axis=1)  # pair by pair, so equal vectors score equally
-                order = np.lexsort((ids[at], -cosine, rows))
+                order = np.lexsort((ids[at], -np.round(cosine, DIGITS), rows))
                 rows, at, cosine = rows[order], at[order], cosine[order]
                 nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
                 keep = nth < k
@@ -191,6 +214,6 @@ def nearest(
     tasks = max(1, min(4000, shards * blocks))
     found = pairs.repartition(tasks, "dim", "shard", "block").mapInArrow(search, "query_id long, id long, score double")
     found = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    order = Window.partitionBy("query_id").orderBy(F.round("score", DIGITS).desc(), "id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")

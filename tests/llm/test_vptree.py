@@ -63,7 +63,18 @@ def test_few_and_none(spark):
 def test_pruning_visits_less():
     rng = np.random.default_rng(1)
     points = unit(np.repeat(rng.normal(size=(20, 8)), 100, axis=0) + 0.01 * rng.normal(size=(2000, 8)))
-    tree, ids = VPTree.build(points), np.arange(2000)
-    found = tree.search(points[:5], np.arange(5), ids, 3, 1.0)
+    ids = np.arange(2000)
+    tree = VPTree.build(points, ids)
+    found = tree.ids[tree.search(points[:5], np.arange(5), 3, 1.0)]
     want = np.argsort(-(points[:5] @ points.T) + 9 * (np.arange(5)[:, None] == ids), axis=1)[:, :3]
     assert [set(f) for f in found.tolist()] == [set(w) for w in want.tolist()]
+
+
+def test_ties_go_to_the_smaller_id(spark):
+    line = [(k, [float(k + 1), 2.0 * (k + 1), 3.0 * (k + 1)]) for k in range(200)]  # one direction
+    found = lists(nearest(frame(spark, line), F.col("vec_id") % 50 == 0, shard_rows=50))
+    assert found == {q: [i for i in range(6) if i != q][:5] for q in (0, 50, 100, 150)}
+    corners = [(k, [1.0 if k >> b & 1 else -1.0 for b in range(9)]) for k in range(512)]  # many directions, few cosines
+    shuffled = [corners[(k * 37) % 512] for k in range(512)]
+    found = lists(nearest(frame(spark, shuffled), F.col("vec_id") % 10 == 0, shard_rows=100))
+    assert found == brute(corners, 5)
