@@ -5,7 +5,8 @@ rises.  A node splits its points at the median distance to a vantage point and
 keeps the range of distances on each side; a side is left when the triangle
 inequality, its bound multiplied by ``factor``, puts it beyond the worst
 neighbour found so far.  Factor 1 is exact search; a larger one visits less.
-Queries walk a tree together, so a visit is one matrix product.
+Queries go down to the leaf nearest to them, then walk the tree together, so a
+visit is one matrix product.
 """
 
 from __future__ import annotations
@@ -80,34 +81,51 @@ class VPTree:
         best = np.full((len(queries), k), -np.inf)
         found = np.full((len(queries), k), -1, dtype=np.int64)
         names = np.full((len(queries), k), np.iinfo(np.int64).max)
-        todo = [(0, np.arange(len(queries)), np.zeros(len(queries)))]
+
+        def look_through(start: int, end: int, active: np.ndarray) -> None:
+            c = np.round(queries[active] @ self.points[start:end].T, DIGITS)
+            ids = self.ids[start:end]
+            c[own[active][:, None] == ids[None, :]] = -np.inf
+            some = (c >= best[active, -1:]).any(axis=1)
+            active, c = active[some], c[some]
+            every = np.concatenate([best[active], c], axis=1)
+            where = np.concatenate([found[active], np.broadcast_to(np.arange(start, end), c.shape)], axis=1)
+            named = np.concatenate([names[active], np.broadcast_to(ids, c.shape)], axis=1)
+            top = np.lexsort((named, -every), axis=1)[:, :k]
+            best[active], names[active] = np.take_along_axis(every, top, 1), np.take_along_axis(named, top, 1)
+            found[active] = np.where(np.isinf(best[active]), -1, np.take_along_axis(where, top, 1))
+
+        def bounds(node: int, active: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            d = distance(queries[active] @ self.points[self.nodes[node, 2]])
+            low, high, far_low, far_high = self.ranges[node].tolist()
+            return np.maximum(np.maximum(low - d, d - high), 0.0), np.maximum(np.maximum(far_low - d, d - far_high), 0.0)
+
+        # every query first goes down to the leaf nearest to it, for a bound to prune by ...
+        home = np.zeros(len(queries), dtype=np.int64)
+        todo = [(0, np.arange(len(queries)))]
         while todo:
-            node, active, bound = todo.pop()
+            node, active = todo.pop()
+            start, end, _, left, right = self.nodes[node].tolist()
+            if left < 0:
+                home[active] = node
+                look_through(start, end, active)
+                continue
+            to_near, to_far = bounds(node, active)
+            near = to_near <= to_far
+            todo += [(side, active[who]) for side, who in ((left, near), (right, ~near)) if who.any()]
+        # ... then all walk the tree together
+        walk = [(0, np.arange(len(queries)), np.zeros(len(queries)))]
+        while walk:
+            node, active, bound = walk.pop()
             active = active[bound * factor <= distance(best[active, -1]) + SLACK]  # the worst neighbour may be nearer by now
             if not len(active):
                 continue
-            start, end, vantage, left, right = self.nodes[node].tolist()
+            start, end, _, left, right = self.nodes[node].tolist()
             if left < 0:
-                c = np.round(queries[active] @ self.points[start:end].T, DIGITS)
-                ids = self.ids[start:end]
-                c[own[active][:, None] == ids[None, :]] = -np.inf
-                some = (c >= best[active, -1:]).any(axis=1)
-                active, c = active[some], c[some]
-                every = np.concatenate([best[active], c], axis=1)
-                where = np.concatenate([found[active], np.broadcast_to(np.arange(start, end), c.shape)], axis=1)
-                named = np.concatenate([names[active], np.broadcast_to(ids, c.shape)], axis=1)
-                top = np.lexsort((named, -every), axis=1)[:, :k]
-                best[active], names[active] = np.take_along_axis(every, top, 1), np.take_along_axis(named, top, 1)
-                found[active] = np.where(np.isinf(best[active]), -1, np.take_along_axis(where, top, 1))
+                look_through(start, end, active[home[active] != node])
                 continue
-            d = distance(queries[active] @ self.points[vantage])
-            low, high, far_low, far_high = self.ranges[node].tolist()
-            to_near = np.maximum(np.maximum(low - d, d - high), 0.0)
-            to_far = np.maximum(np.maximum(far_low - d, d - far_high), 0.0)
-            first = to_near <= to_far
-            for side, b, who in ((right, to_far, first), (left, to_near, ~first), (right, to_far, ~first), (left, to_near, first)):
-                if who.any():  # the last pushed is visited first: each query starts with its nearer side
-                    todo.append((side, active[who], b[who]))
+            to_near, to_far = bounds(node, active)
+            walk += [(right, active, to_far), (left, active, to_near)]
         return found
 
 
