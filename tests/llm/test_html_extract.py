@@ -1,3 +1,9 @@
+import math
+import random
+
+import pytest
+
+from blockloom.llm import html_extract
 from blockloom.llm.html_extract import extract, main_text, smoothed
 
 BODY = "".join(f"<p>Paragraph {k} has some words &amp; a <a href='/x'>link</a>, all of\n  them content.</p>" for k in range(4))
@@ -88,3 +94,85 @@ def test_pages_of_links_and_deep_pages():
 
 def test_smoothing_keeps_constants():
     assert all(abs(v - 3.0) < 1e-12 for v in smoothed([3.0] * 7, 1.5))
+
+
+SIDE = "<nav><ul><li><a href='/'>Home</a></li><li><a href='/b'>About us</a></li></ul></nav>"
+FOOT = "<footer>&copy; The company, all rights reserved, and so on and so forth.</footer>"
+
+
+def test_a_form_round_the_page():
+    html = page(f"<form action='/x'>{SIDE}<div id='c'>{BODY}</div><div class='comments'><p>{LONG[0]}</p></div>{FOOT}</form>")
+    assert main_text(html) == WANT
+    assert main_text(page(f"<div>{BODY}</div>", after=f"<form><p>{LONG[0]}</p><input></form>")) == WANT
+
+
+def test_names_of_classes_are_weights():
+    assert main_text(page(f"<div class='social'>{BODY}</div>", SIDE + "<div><a href='#c'>Skip to content</a></div>", FOOT)) == WANT
+    assert main_text(page(f"<div class='has-sidebar'>{BODY}</div>", SIDE, FOOT)) == WANT
+    inside = f"<article>{BODY}<div class='comment-content'><p>{LONG[0]}</p><p>{LONG[1]}</p></div></article>"
+    assert main_text(page(inside)) == WANT
+    assert main_text(page(f"<div id='c'>{BODY}</div><div class='sidebar-content'><p>{LONG[0]}</p></div>")) == WANT
+    assert main_text(page(f"<div id='c'>{BODY}</div><div class='userComments'><p>{LONG[0]}</p></div>")) == WANT
+
+
+def test_many_comments_do_not_outweigh_a_short_article():
+    comments = "<section class='comments'>" + "".join(f"<div class='comment'><p>{p}</p></div>" for p in LONG * 4) + "</section>"
+    for tag in ("article", "div"):
+        assert main_text(page(f"<{tag}>{BODY}</{tag}>", SIDE, comments + FOOT)) == WANT
+
+
+def test_planted_blocks_without_an_article_element():
+    blocks = ["<div class='cookie-consent'>%s</div>", "<aside>%s</aside>", "<div class='ad'>%s</div>", "<div id='newsletter'>%s</div>", "<ul class='menu'><li>%s</li></ul>", "<header>%s</header>", "<div role='contentinfo'>%s</div>"]
+    for k in range(len(blocks)):
+        before = "".join(b % f"<p>{LONG[0]}</p>" for b in blocks[:k])
+        after = "".join(b % f"<p>{LONG[1]}</p>" for b in blocks[k:])
+        assert main_text(page(f"<div>{BODY}</div>", SIDE + before, after + FOOT)) == WANT
+
+
+def test_every_given_page_goes_through_ratio_and_threshold(monkeypatch):
+    import pyarrow.parquet as pq
+
+    seen = []
+    monkeypatch.setattr(html_extract, "smoothed", lambda values, sigma: seen.append(len(values)) or smoothed(values, sigma))
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"]).column("html").to_pylist()
+    assert all(main_text(h) for h in pages) and len(seen) == len(pages)
+
+
+def test_ratio_smoothing_and_threshold_against_a_slow_version():
+    """Lines that stand out by a plain computation are all in the text, and no line far below the threshold stands alone."""
+    rng = random.Random(6)
+    for _ in range(60):
+        divs = []
+        for _ in range(rng.randint(1, 6)):
+            tags = "".join(rng.choice(["<p>%s</p>", "<li><a href='#'>%s</a></li>", "<p><b>%s</b></p>"]) % ("w" * rng.randint(1, 9) + " x" * rng.randint(0, 80)) for _ in range(rng.randint(1, 6)))
+            divs.append(f"<div>{tags}</div>")
+        parser = html_extract.Lines()
+        parser.feed("<body>" + "".join(divs) + "</body>")
+        parser.close()
+        parser.cut()
+        lines = parser.lines
+        ratio = [min(300, max(0, len(x.text) - x.link)) / (1 + x.tags) for x in lines]
+        smooth = []
+        for i in range(len(lines)):
+            near = [(math.exp(-0.5 * (i - j) ** 2), ratio[j]) for j in range(len(lines)) if abs(i - j) <= 2]
+            smooth.append(sum(w * r for w, r in near) / sum(w for w, _ in near))
+        assert html_extract.ratios(lines, parser.nodes)[0] == pytest.approx(ratio) and smoothed(ratio, 1.0) == pytest.approx(smooth)
+        best = 0.0
+        for node in {x.node for x in lines}:
+            of = [(len(x.text), s if r else 0.0) for x, r, s in zip(lines, ratio, smooth) if x.node == node]
+            best = max(best, sum(n * s for n, s in of) / sum(n for n, _ in of))
+        kept = {id(x) for x in html_extract.content(lines, parser.nodes, 1.0, 0.25)}
+        strong = [min(r, s) >= 0.25 * best for r, s in zip(ratio, smooth)]
+        if best:
+            assert all(id(x) in kept for x, good in zip(lines, strong) if good)
+            for node in {x.node for x in lines}:
+                of = [(x, s) for x, s in zip(lines, smooth) if x.node == node]
+                if max(s for _, s in of) < 0.25 * best and node in (lines[0].node, lines[-1].node):
+                    assert not any(id(x) in kept for x, _ in of)
+
+
+def test_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "<p>some text here</p>", 2, 3, "old")], "page_id long, html string, page_html int, `a.b` int, TEXT string")
+    found = extract(df)
+    assert found.columns == ["page_id", "page_html", "a.b", "text", "n_chars"]
+    assert tuple(found.first()) == (1, 2, 3, "some text here", 14)
