@@ -15,8 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from blockloom.llm.arrays import local_path, map_array, write_array
 from blockloom.llm.common import Scratch, quoted
@@ -137,11 +139,23 @@ def usable(col: str) -> Column:
     )
 
 
-def direction(col: str) -> Column:
-    """The unit vector's components to ``DIGITS`` places, alike for multiples of one vector."""
-    scaled = F.transform(col, lambda x: x / F.array_max(F.transform(col, F.abs)))
-    length = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda total, x: total + x * x))
-    return F.transform(scaled, lambda x: F.round(x / length, DIGITS))
+def with_direction(rows: DataFrame) -> DataFrame:
+    """Add ``direction``, a digest of the unit vector's components to ``DIGITS`` places, alike for multiples of one vector."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[bytes] = [b""] * batch.num_rows
+            v = batch.column("v")
+            flat, size = v.flatten().to_numpy(zero_copy_only=False), v.value_lengths().to_numpy()
+            start = np.cumsum(size) - size
+            for n in np.unique(size).tolist():
+                at = np.flatnonzero(size == n)
+                u = np.round(unit(flat[start[at][:, None] + np.arange(n)]), DIGITS) + 0.0  # no negative zero
+                for k, x in zip(at.tolist(), u, strict=True):
+                    found[k] = xxhash.xxh3_128_digest(x.tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*batch.schema.names, "direction"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields]).add("direction", "binary"))
 
 
 def nearest(
@@ -168,14 +182,14 @@ def nearest(
     spark = vectors.sparkSession
     scratch = Scratch(spark, "vp")
     folder = local_path(scratch.path("index"))
-    rows = scratch.save(
+    found = (
         vectors.filter(usable(quoted(vector_col)) & F.col(quoted(id_col)).isNotNull())
         .select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(vector_col)).cast("array<double>").alias("v"), is_query.alias("q"))
         .dropDuplicates(["id", "v"])
-        .withColumn("dim", F.size("v")),
-        "rows",
+        .withColumn("dim", F.size("v"))
     )
-    equal = Window.partitionBy(direction("v")).orderBy("id")
+    rows = scratch.save(with_direction(found), "rows")
+    equal = Window.partitionBy("dim", "direction").orderBy("id")
     points = rows.withColumn("r", F.row_number().over(equal)).filter(F.col("r") <= k + 1).select("dim", "id", "v")
     points = scratch.save(points, "points")
     shards = max(1, -(-points.count() // shard_rows))
