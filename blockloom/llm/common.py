@@ -11,10 +11,13 @@ Conventions that hold for every operator of the subpackage:
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from blockloom.sources.scratch import fresh_path
 
@@ -50,6 +53,32 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return name
 
 
+def beside(df: DataFrame, own: list[str], sent: Column, new: list[tuple[str, str]], compute: Callable[[list], list]) -> DataFrame:
+    """The columns ``own`` of ``df`` and new ones (name, type), computed from slices of the values of ``sent`` in Arrow batches.
+
+    ``compute`` takes a list of values and returns a row of new values for each.
+    Names of any kind are set aside meanwhile.
+    """
+    kept = [f"own_{k}" for k in range(len(own))]
+    rows = df.select(*(F.col(quoted(c)).alias(k) for c, k in zip(own, kept, strict=True)), sent.alias("sent"))
+    made = StructType()
+    for k, (_, kind) in enumerate(new):
+        made = made.add(f"new_{k}", kind)
+    kinds = to_arrow_schema(made).types
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column("sent").to_pylist()
+            rest = batch.drop_columns(["sent"])
+            for start, end in text_slices([v or "" for v in values]):
+                found = zip(*compute(values[start:end]), strict=True)
+                columns = [*rest.slice(start, end - start).columns, *(pa.array(x, kind) for x, kind in zip(found, kinds, strict=True))]
+                yield pa.RecordBatch.from_arrays(columns, [*kept, *made.names])
+
+    schema = StructType([f for f in rows.schema.fields if f.name != "sent"] + made.fields)
+    return rows.mapInArrow(run, schema).toDF(*own, *(n for n, _ in new))
+
+
 class Scratch:
     """Tables of one run in the shared folder.
 

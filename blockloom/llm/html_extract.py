@@ -22,15 +22,12 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from blockloom.llm.common import free_name, quoted, text_slices
+from blockloom.llm.common import beside, quoted
 
 # Elements by their role in HTML.
 SKIPPED = frozenset("script style noscript template button select textarea iframe svg canvas object title head math audio video map".split())
@@ -329,17 +326,8 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     input named text or n_chars are replaced; others of any name stay.
     """
     own = [c for c in pages.columns if c.lower() not in (html_col.lower(), "text", "n_chars")]
-    source = free_name(pages, "page_html")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            html = batch.column(source).to_pylist()
-            rest = batch.drop_columns([source])
-            for start, end in text_slices([h or "" for h in html]):
-                texts = [main_text(h) for h in html[start:end]]
-                columns = [*rest.slice(start, end - start).columns, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, [*own, "text", "n_chars"])
-
-    sent = pages.select(*map(quoted, own), F.col(quoted(html_col)).alias(source))
-    schema = StructType([f for f in sent.schema.fields if f.name != source]).add("text", "string").add("n_chars", "long")
-    return sent.mapInArrow(run, schema)
+
+    def compute(pages: list[str | None]) -> list[tuple[str, int]]:
+        return [(t, len(t)) for t in map(main_text, pages)]
+
+    return beside(pages, own, F.col(quoted(html_col)), [("text", "string"), ("n_chars", "long")], compute)

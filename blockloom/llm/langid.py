@@ -7,15 +7,11 @@ dictionary gives the fewest bytes wins, and a narrow margin is a rejection.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from blockloom.llm.common import quoted, text_slices
+from blockloom.llm.common import beside, quoted
 
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
@@ -139,18 +135,11 @@ def identify(
     names = [f"{prefix}{x}" for x in ("pred", "score", "margin", "rejected")]
     own = [c for c in docs.columns if c.lower() not in {n.lower() for n in names}]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classify = Classifier(shared.value)
-        for batch in batches:
-            texts = batch.column(text_col).to_pylist()
-            rows = batch.select(own)
-            for start, end in text_slices([t or "" for t in texts]):
-                found = [classify(t, least_margin) for t in texts[start:end]]
-                new = [pa.array(x, kind) for x, kind in zip(zip(*found, strict=True), (pa.string(), pa.float64(), pa.float64(), pa.bool_()), strict=True)]
-                part = rows.slice(start, end - start)
-                yield pa.RecordBatch.from_arrays([*part.columns, *new], [*own, *names])
-
-    sent = docs.select(*map(quoted, own))
-    kinds = ("string", "double", "double", "boolean")
-    schema = StructType(sent.schema.fields + [f for n, kind in zip(names, kinds, strict=True) for f in StructType().add(n, kind).fields])
-    return sent.mapInArrow(run, schema)
+    kept: list[Classifier] = []  # in a task: one
+
+    def compute(texts: list[str | None]) -> list[tuple]:
+        if not kept:
+            kept.append(Classifier(shared.value))
+        return [kept[0](t, least_margin) for t in texts]
+
+    return beside(docs, own, F.col(quoted(text_col)), list(zip(names, ("string", "double", "double", "boolean"), strict=True)), compute)
