@@ -14,7 +14,10 @@ Exact, in steps that each read or shuffle bounded pieces:
    documents hold does not join them.
 4. Each coarse group, cut into chunks of bounded size, is joined by signature
    trees (see signature_tree).  Chunks of one group meet again only where they
-   hold sets that are not connected yet.
+   share a prefix shingle of sets that are not connected yet.
+
+No task gathers all that a frequent shingle or a large group has: what tasks send
+for a shingle is added up, or reduced to its least set, before the shuffle.
 """
 
 from __future__ import annotations
@@ -29,12 +32,13 @@ from pyspark.sql import functions as F
 
 from blockloom.llm import signature_tree
 from blockloom.llm.arrays import by_shard, local_path, map_array, mix, shard_of, squeeze, unsqueeze, write_array
-from blockloom.llm.common import Scratch, connected_components, text_slices
+from blockloom.llm.common import Scratch, connected_components, quoted, text_slices
 from blockloom.llm.kneser_ney import MOST_MAPS, words_of
 
 MOST_SHARDS = 30_000
-CHUNK_SETS = 4096
+CHUNK_SETS = 256
 CHUNK_BYTES = 24_000_000
+UNCOUNTED = (1 << 32) - 1
 
 
 class Shingler:
@@ -77,9 +81,14 @@ def least_shared(n: int, percent: int) -> int:
 
 
 def count_shared(docs: DataFrame, scratch: Scratch, words: int, text_col: str) -> tuple[str, int]:
-    """Write, for each shard, the shingles of two or more different sets and how many have them."""
+    """Write, for each shard, the shingles of two or more different sets and in how many sets they are.
+
+    A task adds up before it sends, so a shingle of all documents is one row for
+    each couple of million shingles.  Sets that several tasks hold count for each:
+    the numbers only give the order of rarity.
+    """
     folder = local_path(scratch.path("shared"))
-    texts = docs.select(F.col(text_col).alias("text"))
+    texts = docs.select(F.col(quoted(text_col)).alias("text"))
     shards = min(MOST_SHARDS, max(4, texts.rdd.getNumPartitions()))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,18 +97,21 @@ def count_shared(docs: DataFrame, scratch: Scratch, words: int, text_col: str) -
         size = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            keys = np.fromiter(sets, dtype=np.int64, count=len(sets))
-            flat = np.concatenate(list(sets.values()))
-            owner = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets.values()])
-            order = np.argsort(flat)
+            """Each shingle once: in how many sets it is, and the least and greatest key of those."""
+            keys = np.sort(np.fromiter(sets, dtype=np.int64, count=len(sets)))
+            flat = np.concatenate([sets[k] for k in keys.tolist()])
+            owner = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(sets[k]) for k in keys.tolist()])
+            order = np.argsort(flat, kind="stable")
             flat, owner = flat[order], owner[order]
+            first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+            n = np.diff(np.r_[first, len(flat)])
+            flat, low, high = flat[first], owner[first], owner[first + n - 1]
             for k, at in by_shard(shard_of(flat, shards)):
-                there, place = np.unique(owner[at], return_inverse=True)  # only the keys of sets with a shingle there
-                sent = squeeze(flat[at]), place.astype(np.uint16).tobytes(), keys[there].tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k], pa.int32()), *(pa.array([x], pa.binary()) for x in sent)],
-                    ["shard", "hashes", "owners", "keys"],
-                )
+                many = at[n[at] > 1]
+                there, place = np.unique(np.r_[low[at], high[many]], return_inverse=True)  # only the keys that are named there
+                place = place.astype(np.uint16)
+                sent = squeeze(flat[at]), n[at].astype(np.uint16).tobytes(), place.tobytes(), keys[there].tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([x], pa.binary()) for x in sent)], ["shard", "hashes", "numbers", "owners", "keys"])
 
         for batch in batches:
             texts = batch.column("text").to_pylist()
@@ -115,32 +127,30 @@ def count_shared(docs: DataFrame, scratch: Scratch, words: int, text_col: str) -
             yield from out()
 
     def write(found: pa.Table) -> pa.Table:
+        """Shingles whose least and greatest key differ are in two or more different sets."""
         shard = found.column("shard")[0].as_py()
-        hashes, owners, keys, known = [], [], [], 0
-        for row in found.select(["hashes", "owners", "keys"]).to_pylist():
+        hashes, numbers, lows, highs = [], [], [], []
+        for row in found.select(["hashes", "numbers", "owners", "keys"]).to_pylist():
+            n, place = np.frombuffer(row["numbers"], dtype=np.uint16), np.frombuffer(row["owners"], dtype=np.uint16)
+            keys = np.frombuffer(row["keys"], dtype=np.int64)
             hashes.append(unsqueeze(row["hashes"]))
-            keys.append(np.frombuffer(row["keys"], dtype=np.int64))
-            owners.append(np.frombuffer(row["owners"], dtype=np.uint16).astype(np.uint32) + np.uint32(known))
-            known += len(keys[-1])
-        flat, owner, key = np.concatenate(hashes), np.concatenate(owners), np.concatenate(keys)
-        del hashes, owners, keys
+            numbers.append(n.astype(np.uint32))
+            lows.append(keys[place[: len(n)]])
+            highs.append(lows[-1].copy())
+            highs[-1][n > 1] = keys[place[len(n) :]]
+        flat, n, low, high = map(np.concatenate, (hashes, numbers, lows, highs))
+        del hashes, numbers, lows, highs
         order = np.argsort(flat)
         flat = flat[order]
-        same = flat[1:] == flat[:-1]  # only shingles that come more than once go on
-        many = np.flatnonzero(np.r_[same, False] | np.r_[False, same])
-        flat, owner = flat[many], key[owner[order[many]]]
-        del order, many
-        order = np.lexsort((owner, flat))
-        flat, owner = flat[order], owner[order]
-        fresh = np.r_[True, (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])] if len(flat) else np.zeros(0, dtype=bool)
-        flat = flat[fresh]
-        starts = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, dtype=np.int64)
-        n = np.diff(np.r_[starts, len(flat)])
-        write_array(folder, f"shingles-{shard}", flat[starts][n > 1])
-        write_array(folder, f"sets-{shard}", n[n > 1].astype("<u4"))
+        first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+        flat, low, high = flat[first], np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first)
+        n = np.add.reduceat(n[order].astype(np.int64), first)
+        shared = low != high
+        write_array(folder, f"shingles-{shard}", flat[shared])
+        write_array(folder, f"sets-{shard}", np.minimum(n[shared], UNCOUNTED).astype("<u4"))
         return pa.table({"shard": pa.array([shard], pa.int32())})
 
-    sent = texts.mapInArrow(send, "shard int, hashes binary, owners binary, keys binary")
+    sent = texts.mapInArrow(send, "shard int, hashes binary, numbers binary, owners binary, keys binary")
     there = sent.groupBy("shard").applyInArrow(write, "shard int").collect()  # one row a shard
     for k in set(range(shards)) - {r.shard for r in there}:
         write_array(folder, f"shingles-{k}", np.zeros(0, dtype=np.uint64))
@@ -198,35 +208,68 @@ def candidate_sets(docs: DataFrame, folder: str, shards: int, words: int, percen
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
     return rows.mapInArrow(run, f"id {kind}, key long, n long, members binary, prefix binary")
 
 
-def prefix_edges(candidates: DataFrame, shards: int) -> DataFrame:
-    """Edges (a, b) that connect the sets of every prefix shingle."""
+def prefix_edges(candidates: DataFrame, shards: int, scratch: Scratch) -> DataFrame:
+    """Edges (a, b) that connect the sets of every prefix shingle.
+
+    Sets of one batch are connected with the least of them on the spot, and only
+    that one is sent for the shingle, so a frequent shingle is a row a batch.
+    """
+
+    def least(flat: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Shingles, the least key of each, and edges of the others to it."""
+        order = np.lexsort((key, flat))
+        flat, key = flat[order], key[order]
+        starts = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+        low = np.repeat(key[starts], np.diff(np.r_[starts, len(flat)]))
+        return flat[starts], key[starts], np.unique(np.stack([key, low], axis=1)[key != low], axis=0)
+
+    names = ["shard", "hashes", "a", "b"]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prefixes = [np.frombuffer(p, dtype=np.uint64) for p in batch.column("prefix").to_pylist()]
             if not prefixes:
                 continue
-            flat = np.concatenate(prefixes)
             key = np.repeat(np.array(batch.column("key").to_pylist(), dtype=np.int64), [len(p) for p in prefixes])
-            for k, at in by_shard(shard_of(flat, shards)):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([flat[at].tobytes()], pa.binary()), pa.array([key[at].tobytes()], pa.binary())], ["shard", "hashes", "keys"])
+            flat, low, edges = least(np.concatenate(prefixes), key)
+            rows = [(k, flat[at].tobytes(), low[at].tobytes(), b"") for k, at in by_shard(shard_of(flat, shards))]
+            rows.append((-1, b"", edges[:, 0].tobytes(), edges[:, 1].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int32(), *3 * [pa.binary()]), strict=True)], names)
+
+    def longs(values: list[bytes]) -> np.ndarray:
+        return np.concatenate([np.zeros(0, dtype=np.int64), *(np.frombuffer(x, dtype=np.int64) for x in values)])
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row[x], dtype=np.int64)) for x in ("a", "b")], ["a", "b"])
 
     def stars(found: pa.Table) -> pa.Table:
-        flat = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in found.column("hashes").to_pylist()])
-        key = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in found.column("keys").to_pylist()])
-        order = np.lexsort((key, flat))
-        flat, key = flat[order], key[order]
-        starts = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
-        low = np.repeat(key[starts], np.diff(np.r_[starts, len(flat)]))
-        edges = np.unique(np.stack([key, low], axis=1)[key != low], axis=0)
+        flat = longs(found.column("hashes").to_pylist()).view(np.uint64)
+        edges = least(flat, longs(found.column("a").to_pylist()))[2]
         return pa.table({"a": pa.array(edges[:, 0], pa.int64()), "b": pa.array(edges[:, 1], pa.int64())})
 
-    sent = candidates.select("key", "prefix").mapInArrow(send, "shard int, hashes binary, keys binary")
-    return sent.groupBy("shard").applyInArrow(stars, "a long, b long")
+    sent = scratch.save(candidates.select("key", "prefix").mapInArrow(send, "shard int, hashes binary, a binary, b binary"), "prefixes")
+    there = sent.filter("shard < 0").select("a", "b").mapInArrow(unpack, "a long, b long")
+    return there.union(sent.filter("shard >= 0").groupBy("shard").applyInArrow(stars, "a long, b long"))
+
+
+def touched(rows: DataFrame) -> DataFrame:
+    """(shingle, cid, low, high) of rows (cid, label, prefix): the chunks that each prefix shingle occurs in, and the range of labels there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prefixes = [np.frombuffer(p, dtype=np.int64) for p in batch.column("prefix").to_pylist()]
+            n = [len(p) for p in prefixes]
+            cid, label = (np.repeat(batch.column(x).to_numpy(zero_copy_only=False), n) for x in ("cid", "label"))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (np.concatenate(prefixes) if prefixes else [], cid, label)], ["shingle", "cid", "label"])
+
+    found = rows.select("cid", "label", "prefix").mapInArrow(run, "shingle long, cid long, label long")
+    return found.groupBy("shingle", "cid").agg(F.min("label").alias("low"), F.max("label").alias("high"))
 
 
 def joined(rows: DataFrame, percent: int, across: bool = False) -> DataFrame:
@@ -263,10 +306,10 @@ def joined(rows: DataFrame, percent: int, across: bool = False) -> DataFrame:
 
 def similar_sets(candidates: DataFrame, shards: int, percent: int, scratch: Scratch) -> DataFrame | None:
     """(node, component) of the sets that are linked with others; None if there is no candidate."""
-    edges = scratch.save(prefix_edges(candidates, shards), "prefix-edges")
+    edges = scratch.save(prefix_edges(candidates, shards, scratch), "prefix-edges")
     coarse = connected_components(edges, scratch, "coarse").withColumnsRenamed({"node": "key", "component": "coarse"})
     size = F.octet_length("members")
-    rows = candidates.select("key", "members").join(coarse, "key")
+    rows = candidates.select("key", "members", "prefix").join(coarse, "key")
     load = rows.groupBy("coarse").agg(F.count(F.lit(1)).alias("sets"), F.sum(size).alias("bytes")).select(
         "coarse", F.greatest(F.ceil(F.col("sets") / CHUNK_SETS), F.ceil(F.col("bytes") / CHUNK_BYTES)).cast("int").alias("chunks")
     )
@@ -277,7 +320,7 @@ def similar_sets(candidates: DataFrame, shards: int, percent: int, scratch: Scra
     if load.filter("chunks > 1").isEmpty():
         return connected_components(links, scratch, "fine")
     # The chunks of large groups: first one set for each component found so far, in chunks of their own ...
-    large = scratch.save(rows.filter("chunks > 1").select("coarse", "key", "members"), "large")
+    large = scratch.save(rows.filter("chunks > 1").select("coarse", "key", "members", "prefix"), "large")
     for k in range(8):
         known = scratch.save(connected_components(links, scratch, f"fine-{k}"), f"known-{k}")
         heads = labelled(large, known).filter("key = label")
@@ -289,7 +332,7 @@ def similar_sets(candidates: DataFrame, shards: int, percent: int, scratch: Scra
         if more.isEmpty():
             break
         links = scratch.save(links.union(more), f"links-{k}")
-    # ... then every pair of chunks that hold sets of different components
+    # ... then those pairs of chunks that share a prefix shingle of sets of different components: no others can be linked
     known = scratch.save(connected_components(links, scratch, "fine-last"), "known-last")
     at = labelled(large, known)
     n = at.groupBy("coarse", "label").agg(F.count(F.lit(1)).alias("sets"), F.sum(size).alias("bytes"))
@@ -299,30 +342,22 @@ def similar_sets(candidates: DataFrame, shards: int, percent: int, scratch: Scra
     total = n.groupBy("coarse").agg(F.ceil(F.sum("bytes") / CHUNK_BYTES + F.sum("sets") / CHUNK_SETS).cast("int").alias("all"))
     own = F.col("pieces") > 1  # a component of several chunks has them to itself; smaller ones share chunks
     at = at.join(total, "coarse").withColumn(
-        "chunk",
-        F.when(own, F.struct("label", F.pmod(F.xxhash64("key"), F.col("pieces")).cast("int").alias("part"))).otherwise(
-            F.struct(F.lit(None).cast("long").alias("label"), F.pmod(F.xxhash64("label"), F.col("all")).cast("int").alias("part"))
-        ),
-    )
-    at = scratch.save(at.select("coarse", "chunk", "key", "label", "members"), "placed")
-    chunks = scratch.save(
-        at.groupBy("coarse", "chunk").agg(F.min(F.octet_length("members")).alias("low"), F.max(F.octet_length("members")).alias("high")), "chunks"
+        "cid",
+        F.when(own, F.xxhash64("coarse", "label", F.pmod(F.xxhash64("key"), F.col("pieces")))).otherwise(F.xxhash64("coarse", F.pmod(F.xxhash64("label"), F.col("all")))),
     )
+    at = scratch.save(at.select("cid", (~own).alias("shared"), "key", "label", "members", "prefix"), "placed")
+    touches = scratch.save(touched(at), "touched")
+    useful = touches.groupBy("shingle").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high and n > 1")
+    useful = scratch.save(touches.join(useful.select("shingle"), "shingle", "left_semi").select("shingle", "cid"), "useful")
+    x, y = useful.alias("x"), useful.alias("y")
+    pairs = x.join(y, F.col("x.shingle") == F.col("y.shingle")).filter("x.cid < y.cid").select(F.col("x.cid").alias("x"), F.col("y.cid").alias("y")).distinct()
+    chunks = scratch.save(at.groupBy("cid").agg(F.min(size).alias("low"), F.max(size).alias("high")), "chunks")
     a, b = chunks.alias("a"), chunks.alias("b")
-    pairs = a.join(b, F.col("a.coarse") == F.col("b.coarse")).filter(
-        (F.col("a.chunk") < F.col("b.chunk"))
-        & ~(F.col("a.chunk.label").isNotNull() & F.col("a.chunk.label").eqNullSafe(F.col("b.chunk.label")))
-        & (percent * F.greatest("a.low", "b.low") <= 100 * F.least("a.high", "b.high"))
-    )
-    pairs = pairs.select(F.col("a.coarse").alias("coarse"), F.struct(F.col("a.coarse").alias("coarse"), F.col("a.chunk").alias("x"), F.col("b.chunk").alias("y")).alias("task"))
-    sides = pairs.select("coarse", "task", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("task.x").alias("chunk")), F.struct(F.lit(1).alias("side"), F.col("task.y").alias("chunk")))).alias("s"))
-    sides = sides.select("coarse", "task", "s.side", "s.chunk")
-    same = sides["coarse"].eqNullSafe(at["coarse"]) & sides["chunk"].eqNullSafe(at["chunk"])
-    crossed = at.join(sides, same).select("task", F.col("side").cast("long").alias("side"), "key", "label", "members")
+    pairs = pairs.join(a, F.col("x") == F.col("a.cid")).join(b, F.col("y") == F.col("b.cid")).filter(percent * F.greatest("a.low", "b.low") <= 100 * F.least("a.high", "b.high"))
+    sides = pairs.select(F.struct("x", "y").alias("task"), F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("x").alias("cid")), F.struct(F.lit(1).alias("side"), F.col("y").alias("cid")))).alias("s"))
+    crossed = at.join(sides.select("task", F.col("s.side").cast("long").alias("side"), F.col("s.cid").alias("cid")), "cid").select("task", "side", "key", "label", "members")
     # a shared chunk also meets itself: there every set is a side of its own
-    alone = at.filter("chunk.label is null").select(
-        F.struct("coarse", F.col("chunk").alias("x"), F.col("chunk").alias("y")).alias("task"), F.col("key").alias("side"), "key", "label", "members"
-    )
+    alone = at.filter("shared").select(F.struct(F.col("cid").alias("x"), F.col("cid").alias("y")).alias("task"), F.col("key").alias("side"), "key", "label", "members")
     links = scratch.save(links.union(joined(crossed.unionByName(alone), percent, across=True)), "links-all")
     return connected_components(links, scratch, "fine-all")
 

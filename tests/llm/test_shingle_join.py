@@ -62,6 +62,35 @@ def test_groups_of_many_chunks(spark, chains, monkeypatch):
     check(spark.createDataFrame(chains, "doc_id long, text string").repartition(4), chains)
 
 
+def test_a_passage_in_every_document(spark, make_text, monkeypatch):
+    """Nothing that is sent for one shard or task grows with the number of documents that hold a passage."""
+    rng = random.Random(21)
+    passage = make_text(rng, "en", 30)
+    rows = [(k, f"{passage} {make_text(rng, 'de', rng.randint(3, 30))} {passage if k % 2 else ''}") for k in range(500)]
+    rows += [(k, rows[k % 9][1] + " more") for k in range(500, 560)]
+    sent = []
+    saved = shingle_join.Scratch.save
+    monkeypatch.setattr(shingle_join.Scratch, "save", lambda self, df, name: sent.append((name, saved(self, df, name))) or sent[-1][1])
+    check(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), rows)
+    there = next(df for name, df in sent if name == "prefixes")
+    per_shingle = max(len(r.a) for r in there.filter("shard >= 0").collect())
+    assert per_shingle <= 8 * 30_000
+    for name, df in sent:
+        if name == "prefixes":
+            keys = [k for r in df.filter("shard >= 0").collect() for k in np.frombuffer(r.hashes, dtype=np.uint64).tolist()]
+            assert max(keys.count(k) for k in set(keys[:50])) <= df.rdd.getNumPartitions() * 2
+
+
+def test_boilerplate_documents_in_one_coarse_group(spark, make_text, monkeypatch):
+    """Documents made of shared passages only form one large group whose chunks must meet."""
+    monkeypatch.setattr(shingle_join, "CHUNK_SETS", 8)
+    rng = random.Random(22)
+    passages = [make_text(rng, "fr", 12) for _ in range(14)]
+    rows = [(k, " ".join(rng.sample(passages, rng.randint(2, 7)))) for k in range(150)]
+    rows += [(150 + k, rows[k][1] + " tail") for k in range(0, 150, 3)]
+    check(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), rows)
+
+
 def test_edges(spark, no_docs):
     rows = [(1, None), (2, ""), (3, "one two"), (4, "ONE\ttwo"), (5, "one two three"), (6, "é É"), (7, "é é"), (7, "é é")]
     found = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
