@@ -1,7 +1,9 @@
 import importlib.util
+import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from blockloom.llm.common import Scratch, connected_components
 
@@ -59,6 +61,34 @@ def test_columns_of_any_name_stay(spark, docs, corpus):
         assert none.columns == docs.columns and none.collect() == []
 
 
+def test_names_inside_stages_and_dots(spark):
+    df = spark.createDataFrame([(k, f"the words of text {k} are these and {k * k}", "en", "s", k) for k in range(9)], "doc_id long, text string, lang string, source string, row_key int")
+    for name in ("row_id", "row_text", "row_copies", "row_copy", "kept_id", "key_text", "lang_pred", "a.b", "ID"):
+        df = df.withColumn(name, F.lit(name))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, df, "")
+        assert found.columns == df.columns
+        assert all(r["a.b"] == "a.b" and r.row_copies == "row_copies" and r.row_key == r.doc_id for r in found.collect())
+    assert corpus_pipeline.pack(spark, df, "").count() == 9
+
+
+def test_repeated_and_null_ids(spark, make_text):
+    rng = random.Random(4)
+    base = [make_text(rng, "en", 40) for _ in range(6)]
+    rows = [(1, base[0]), (1, base[1]), (2, base[0] + " more"), (None, base[2]), (None, base[3]), (3, base[2] + " more"), (None, base[4] + " tail"), (None, base[4]), (4, None), (None, None), (5, "")]
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string")
+    kept = corpus_pipeline.near_duplicates(spark, df, "").collect()
+    found = sorted(((r.doc_id, r.text) for r in kept), key=str)
+    assert (1, base[0]) in found and (1, base[1]) in found and (2, base[0] + " more") not in found
+    assert (3, base[2] + " more") in found and (None, base[2]) not in found and (None, base[3]) in found
+    assert sum(t is not None and t.startswith(base[4]) for _, t in found) == 1 and sum(not t for _, t in found) == 3
+    mixed = corpus_pipeline.mix(spark, df, "").collect()  # one source: its target is its size
+    assert abs(sum(len((r.text or "").split()) for r in mixed) - sum(len((t or "").split()) for _, t in rows)) <= 41
+    many = spark.createDataFrame([(7, "some words here", "en", "a")] * 300 + [(k, "other words", "en", "b") for k in range(300)], df.schema)
+    words = [len(r.text.split()) for r in corpus_pipeline.mix(spark, many, "").collect() if r.source == "a"]
+    assert abs(sum(words) - 1500 * 5 / 7) <= 120
+
+
 def test_packing_of_unique_documents(spark):
     rows = [(k, "some words " * k) for k in range(1, 30)]
     found = corpus_pipeline.pack(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
