@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from blockloom.operators import runs
+
 
 def buckets(start: Column, end: Column, width: int) -> Column:
     """Buckets of ``width`` that the half-open interval touches."""
@@ -34,10 +36,10 @@ def map_points(points: DataFrame, runs: DataFrame, width: int) -> DataFrame:
     return found.withColumn("lcn", F.col("run_lcn") + F.col("vcn") - F.col("run_vcn")).drop("bucket", "run_vcn", "run_lcn", "length")
 
 
-def overlaps_before(ranges: DataFrame, start: str, end: str, key: str, partition: list[str]) -> DataFrame:
+def overlaps_before(ranges: DataFrame, start: str, end: str, key: str, partition: list[str], width: int = runs.WIDTH) -> DataFrame:
     """Whether each range starts before the end of some range that starts earlier."""
-    before = Window.partitionBy(*partition).orderBy(start, key).rowsBetween(Window.unboundedPreceding, -1)
-    return ranges.withColumn("overlaps", F.coalesce(F.col(start) < F.max(end).over(before), F.lit(False)))
+    found = runs.running(ranges, partition, [start, key], "end_before", F.col(end), F.max, width, inclusive=False)
+    return found.withColumn("overlaps", F.coalesce(F.col(start) < F.col("end_before"), F.lit(False))).drop("end_before")
 
 
 def bits(bitmap: DataFrame, index: str, byte: str) -> DataFrame:
@@ -46,8 +48,7 @@ def bits(bitmap: DataFrame, index: str, byte: str) -> DataFrame:
     return rows.select((F.col(index) * 8 + F.col("bit")).alias("cluster"), F.expr(f"bit_get(cast({byte} as long), bit) = 1").alias("used"))
 
 
-def peak_active(requests: DataFrame, key: str, start: str, end: str) -> DataFrame:
+def peak_active(requests: DataFrame, key: str, start: str, end: str, width: int = runs.WIDTH) -> DataFrame:
     """Most requests active at once, per key; one that ends when another starts is over."""
     steps = requests.select(key, F.inline(F.array(F.struct(F.col(start).alias("t"), F.lit(1).alias("step")), F.struct(F.col(end).alias("t"), F.lit(-1).alias("step")))))
-    active = F.sum("step").over(Window.partitionBy(key).orderBy("t", "step").rowsBetween(Window.unboundedPreceding, 0))
-    return steps.withColumn("active", active).groupBy(key).agg(F.max("active").alias("max_active"))
+    return runs.running(steps, [key], ["t", "step"], "active", F.col("step"), F.sum, width).groupBy(key).agg(F.max("active").alias("max_active"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from blockloom.operators import runs
+from blockloom.operators.views import first_match
+
 LONGEST_LINE = 12_000
 
 
@@ -22,10 +25,10 @@ def parse_segments(lines: DataFrame, schema: str, longest: int = LONGEST_LINE) -
     return rows.withColumn("ok", F.coalesce(good, F.lit(False)))
 
 
-def valid_prefix(log: DataFrame, keys: list[str], order: str, ok: Column) -> DataFrame:
+def valid_prefix(log: DataFrame, keys: list[str], order: str, ok: Column, width: int = runs.WIDTH) -> DataFrame:
     """The records before the first bad one of each key."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return log.withColumn("__ok", F.min(F.coalesce(ok, F.lit(False)).cast("int")).over(w)).filter("__ok = 1").drop("__ok")
+    sound = F.coalesce(ok, F.lit(False)).cast("int")
+    return runs.running(log, keys, [order], "prefix_ok", sound, F.min, width).filter("prefix_ok = 1").drop("prefix_ok")
 
 
 def whole_or_nothing(log: DataFrame, keys: list[str], seq: str, ok: Column) -> DataFrame:
@@ -35,27 +38,51 @@ def whole_or_nothing(log: DataFrame, keys: list[str], seq: str, ok: Column) -> D
     return log.groupBy(*keys).agg(n.alias("records"), sound.alias("valid"))
 
 
-def changes(log: DataFrame, keys: list[str], order: str, state: list[str]) -> DataFrame:
+def changes(log: DataFrame, keys: list[str], order: str, state: list[str], width: int = runs.WIDTH) -> DataFrame:
     """Records whose state differs from the one before of the same key."""
-    w = Window.partitionBy(*keys).orderBy(order)
     now = F.struct(*state)
-    return log.withColumn("__before", F.lag(now).over(w)).filter(F.col("__before").isNull() | (now != F.col("__before"))).drop("__before")
-
-
-# Endings of action names by outcome, the first that matches counts.
-OUTCOMES = [
-    ("interrupted", "(error|failed|interrupted)$"),
-    ("warning", "(warning|conflict)$"),
-    ("paused", "paused$"),
-    ("cancelled", "(cancelled|canceled)$"),
-    ("completed", "(completed|succeeded|deleted)$"),
-    ("running", "(started|resumed|uploading)$"),
-]
-
-
-def outcome(action: Column, level: Column) -> Column:
-    """Outcome shown for a log row: an error level is an interruption whatever the action."""
-    found = F.when(level == "error", "interrupted")
-    for name, pattern in OUTCOMES:
-        found = found.when(action.rlike(pattern), name)
-    return found.otherwise("info")
+    found = runs.with_previous(log, keys, [order], {"state_before": now}, width)
+    return found.filter(F.col("state_before").isNull() | (now != F.col("state_before"))).drop("state_before")
+
+
+# Statuses of log rows by ending of the action, in the order they are tested after the error level.
+SUCCESS = "[.](confirmed|completed|deleted|removed|unchanged|verified)$"
+REUSED = ("object.reused", "upload.reused")
+
+
+def outcome(action: Column, level: Column, kind: Column) -> Column:
+    """Status shown for a log row.  A failed action or the error level comes first; replica rows have statuses of their own."""
+    level, replica = F.lower(level), F.coalesce(kind == "replica", F.lit(False))
+    return first_match(
+        [
+            ((level == "error") | action.rlike("[.]failed$"), "failed"),
+            (action.rlike("[.]interrupted$"), "interrupted"),
+            (level == "warning", "warning"),
+            (action.rlike("[.]paused$"), "paused"),
+            (action.rlike("[.]cancelled$"), "cancelled"),
+            (replica & (action == "prepared"), "to_confirm"),
+            (replica & action.isin("applied", "unchanged"), "success"),
+            (action.isin(*REUSED), "reused"),
+            (action.rlike(SUCCESS), "success"),
+            (action.rlike("[.]started$"), "started"),
+        ],
+        "record",
+    )
+
+
+LEAST_BATCH, MOST_BATCH = 128, 512
+
+
+def batch_after(steps: str) -> Column:
+    """Batch size after (ms, waiting) steps in order: back to the least while foreground work waits, else halved by slow steps and doubled by fast ones."""
+    least, most = F.lit(LEAST_BATCH).cast("long"), F.lit(MOST_BATCH).cast("long")
+    return F.aggregate(
+        steps,
+        least,
+        lambda a, s: F.when(s["waiting"], least).when(s["ms"] > 100, F.greatest(F.shiftright(a, 1), least)).when(s["ms"] <= 25, F.least(a * 2, most)).otherwise(a),
+    )
+
+
+def budget(batch: Column, maximum: Column, waiting: Column) -> Column:
+    """What one step may take: the batch within the caller's maximum and a cap that is lower while foreground work waits."""
+    return F.greatest(F.least(batch, maximum, F.when(waiting, LEAST_BATCH).otherwise(MOST_BATCH)), F.lit(1)).cast("long")

@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from blockloom.operators import runs
+from blockloom.operators.views import MOST_PENDING
+
 
 def reference_changes(old: DataFrame, new: DataFrame, key: str, target: str) -> DataFrame:
     """Signed count changes per target where a key's mapping differs between two versions."""
@@ -30,16 +33,26 @@ def orphans(pages: DataFrame, objects: DataFrame, key: str = "oid") -> DataFrame
     return pages.join(objects.filter("kind = 1").select(key), key, "left_anti")
 
 
-def reachable(spark, edges: DataFrame, roots: DataFrame, max_depth: int = 40) -> DataFrame:
-    """(node, depth) of every node below the roots of a forest, by a recursive query."""
-    return spark.sql(
-        f"""WITH RECURSIVE walk(node, depth) AS (
-            SELECT node, 0 FROM {{roots}} UNION ALL
-            SELECT e.child, w.depth + 1 FROM walk w JOIN {{edges}} e ON e.parent = w.node WHERE w.depth < {int(max_depth)})
-        SELECT node, depth FROM walk""",
-        edges=edges,
-        roots=roots,
-    )
+def reachable(spark, edges: DataFrame, roots: DataFrame, folder: str) -> DataFrame:
+    """(node, depth) of every node below the roots, at its least depth, to whatever depth there is.
+
+    A frontier at a time: each level's new nodes are written to ``folder``, and
+    those reached before are left out, so nodes with several parents come once
+    and circles end.
+    """
+    level, found = 0, None
+    frontier = roots.select("node").distinct()
+    while True:
+        frontier.write.parquet(f"{folder}/{level}")
+        now = spark.read.parquet(f"{folder}/{level}")
+        if now.isEmpty():
+            break
+        seen = now.withColumn("depth", F.lit(level))
+        found = seen if found is None else found.unionByName(seen)
+        below = edges.join(now, edges["parent"] == now["node"]).select(F.col("child").alias("node")).distinct()
+        frontier = below.join(found.select("node"), "node", "left_anti")
+        level += 1
+    return found if found is not None else now.withColumn("depth", F.lit(0))
 
 
 def protection(objects: DataFrame, reasons: list[tuple[str, Column]]) -> DataFrame:
@@ -48,17 +61,25 @@ def protection(objects: DataFrame, reasons: list[tuple[str, Column]]) -> DataFra
     return objects.withColumn("reason", first)
 
 
-def heat(reads: DataFrame, disk: str, tick: str, off: str, length: str, object_size: int) -> DataFrame:
+def partition_verdicts(candidates: DataFrame, parts: DataFrame, key: str) -> DataFrame:
+    """(key, verdict) for parts that should make up the candidates: exact, missing, twice or foreign."""
+    a = candidates.select(key, F.lit(1).alias("wanted"))
+    b = parts.groupBy(key).agg(F.count(F.lit(1)).alias("times"))
+    verdict = F.when(F.col("wanted").isNull(), "foreign").when(F.col("times").isNull(), "missing").when(F.col("times") > 1, "twice").otherwise("exact")
+    return a.join(b, key, "full").select(key, verdict.alias("verdict"))
+
+
+def heat(reads: DataFrame, disk: str, tick: str, off: str, length: str, object_size: int, width: int = runs.WIDTH) -> DataFrame:
     """Per disk and object: last tick, frequency and whether the last read was sequential.
 
     A read that starts where the disk's previous one ended is sequential (the
     first one, if it starts at 0); it does not raise the frequency when it stays
     in the same object.
     """
-    w = Window.partitionBy(disk).orderBy(tick)
-    at = F.floor(F.col(off) / object_size).cast("long")
-    rows = reads.withColumn("object", at).withColumn("seq", F.col(off) == F.coalesce(F.lag(F.col(off) + F.col(length)).over(w), F.lit(0)))
-    again = F.col("seq") & F.coalesce(F.lag("object").over(w) == F.col("object"), F.lit(False))
+    rows = reads.withColumn("object", F.floor(F.col(off) / object_size).cast("long"))
+    rows = runs.with_previous(rows, [disk], [tick], {"end_before": F.col(off) + F.col(length), "object_before": F.col("object")}, width)
+    rows = rows.withColumn("seq", F.col(off) == F.coalesce("end_before", F.lit(0)))
+    again = F.col("seq") & F.coalesce(F.col("object_before") == F.col("object"), F.lit(False))
     return (
         rows.withColumn("again", again)
         .groupBy(disk, "object")
@@ -66,18 +87,33 @@ def heat(reads: DataFrame, disk: str, tick: str, off: str, length: str, object_s
     )
 
 
-def streaks(reads: DataFrame, disk: str, tick: str, off: str, length: str) -> DataFrame:
-    """Runs of reads each starting where the one before ended: (disk, first tick, reads, bytes)."""
-    w = Window.partitionBy(disk).orderBy(tick)
-    start = F.coalesce(F.col(off) != F.lag(F.col(off) + F.col(length)).over(w), F.lit(True))
-    rows = reads.withColumn("start", start.cast("int")).withColumn("streak", F.sum("start").over(w))
+SHORTEST_READ = 65_536  # shorter reads neither continue nor break a streak
+
+
+def streaks(reads: DataFrame, disk: str, tick: str, off: str, length: str, width: int = runs.WIDTH) -> DataFrame:
+    """Runs of reads each starting where the one before ended: (disk, first tick, reads, bytes).  Short reads do not count."""
+    rows = reads.filter(F.col(length) >= SHORTEST_READ)
+    rows = runs.with_previous(rows, [disk], [tick], {"end_before": F.col(off) + F.col(length)}, width)
+    start = F.coalesce(F.col(off) != F.col("end_before"), F.lit(True)).cast("int")
+    rows = runs.running(rows, [disk], [tick], "streak", start, F.sum, width)
     return rows.groupBy(disk, "streak").agg(F.min(tick).alias("first_tick"), F.count(F.lit(1)).alias("reads"), F.sum(length).alias("n_bytes")).drop("streak")
 
 
+def prefetch_objects(n_bytes: Column, reads: Column, object_size: int, most: int) -> Column:
+    """Objects to fetch ahead after a streak: none below three reads, then one and one for each object's bytes read, up to ``most``."""
+    return F.when(reads >= 3, F.least(F.lit(most), 1 + F.floor(F.least(n_bytes, F.lit(object_size * most)) / object_size))).otherwise(0).cast("long")
+
+
 # Fixed: how each policy orders candidates for eviction, the first to go first; ties by object id.
 POLICIES = {"lru": ["last"], "lfu": ["frequency", "last"], "sequential": ["not_sequential", "last"]}
 
 
+def eviction_count(used: Column, limit: Column, object_size: int, most: Column, pending: Column) -> Column:
+    """Objects that one step evicts: the overrun's worth, at least one, no more than asked for or than may be waiting."""
+    over = F.greatest(used - limit, F.lit(0))
+    return F.greatest(F.lit(0), F.least(F.greatest(F.ceil(over / object_size), F.lit(1)), most, MOST_PENDING - pending)).cast("long")
+
+
 def evict(candidates: DataFrame, heat: DataFrame, policy: str, limit: int) -> DataFrame:
     """The next ``limit`` objects to evict; an object never read has heat 0."""
     joined = candidates.join(heat, "oid", "left").select(

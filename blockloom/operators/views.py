@@ -31,15 +31,29 @@ def valid_cache_limit(limit: Column) -> Column:
     return (limit == 0) | (limit.between(64 * MIB, 8 * MIB * MIB) & (limit % (4 * MIB) == 0))
 
 
-def eviction_gate(limit: Column, online: Column, ready: Column, restoring: Column, used: Column, readers: Column) -> Column:
+MOST_PENDING = 32  # evictions that may be waiting for readers
+
+
+def eviction_gate(limit: Column, online: Column, ready: Column, available: Column, restoring: Column, used: Column, pending: Column) -> Column:
     """Why a cache is not trimmed now; null when it is."""
     return first_match(
         [
             (limit == 0, "unlimited"),
             (~online, "offline"),
             (~ready, "source_not_ready"),
+            (~available, "provider_unavailable"),
             (restoring, "restore_incomplete"),
             (used <= limit, "within_limit"),
-            (readers > 0, "active_readers"),
+            (pending >= MOST_PENDING, "active_readers"),
         ]
     ).cast("string")
+
+
+def prepare_stage(preparing: Column, sealed: Column, tails: Column, seeding: Column, processed: Column, changed: Column) -> Column:
+    """Stage of a job that is being prepared: tails are sealed, then pages indexed, then the root written."""
+    return first_match([(~preparing, "ready"), (sealed < tails, "sealing"), (seeding | (processed < changed), "indexing")], "root")
+
+
+def restore_phase(phase: Column, work: Column) -> Column:
+    """Phase shown for a restore: while it builds, data is verified and all else indexed; before, objects are downloaded."""
+    return first_match([((phase == "building") & (work == "data"), "verifying"), (phase == "building", "indexing")], "downloading")

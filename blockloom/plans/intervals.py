@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from blockloom import fixtures as fx
-from blockloom.operators import intervals as op, keyed
+from blockloom.operators import intervals as op, keyed, runs
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -100,7 +100,7 @@ def bitmap_free_runs(spark, d):
     fx.with_tables("ranges", "SELECT range_id, coalesce(rstart < max(rend) OVER (ORDER BY rstart, range_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS overlaps FROM ranges"),
 )
 def range_overlap_check(spark, d):
-    return op.overlaps_before(fx.ranges(spark, d).withColumn("all", F.lit(0)), "rstart", "rend", "range_id", ["all"]).select("range_id", "overlaps")
+    return op.overlaps_before(fx.ranges(spark, d), "rstart", "rend", "range_id", [], 1 << 22).select("range_id", "overlaps")
 
 
 @query(
@@ -110,11 +110,13 @@ def range_overlap_check(spark, d):
 )
 def completed_prefix(spark, d):
     """How far each queue is complete without a gap, from the completed sequence numbers alone."""
-    w = Window.partitionBy("queue").orderBy("event_id")
-    rows = fx.raw(spark, d, "events").select((F.col("user_id") % 4).alias("queue"), "event_id").withColumn("seq", F.row_number().over(w).cast("long"))
+    rows = fx.raw(spark, d, "events").select((F.col("user_id") % 4).alias("queue"), "event_id")
+    rows = runs.running(rows, ["queue"], ["event_id"], "seq", F.lit(1).cast("long"))
     done = rows.filter("event_id % 83 <> 82").select("queue", "seq")
-    runs = keyed.islands(done, "seq", ["queue"])
-    return runs.groupBy("queue").agg(F.coalesce(F.max(F.when(F.col("first") == 1, F.col("last"))), F.lit(0).cast("long")).alias("completed_through"), F.sum("n").alias("n_done"))
+    # the first number that is not done ends the prefix: no order among the others matters
+    gap = rows.groupBy("queue").agg(F.min(F.when(F.col("event_id") % 83 == 82, F.col("seq"))).alias("gap"), F.max("seq").alias("last"))
+    n = done.groupBy("queue").agg(F.count(F.lit(1)).alias("n_done"))
+    return gap.join(n, "queue", "left").select("queue", F.coalesce(F.col("gap") - 1, F.col("last")).alias("completed_through"), F.coalesce("n_done", F.lit(0)).cast("long").alias("n_done"))
 
 
 @query(
@@ -129,9 +131,10 @@ def rate_audit(spark, d):
     """Requests that follow too closely, and the most at once, per disk."""
     r = fx.raw(spark, d, "events").select((F.col("user_id") % 4).alias("disk"), "event_id", F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))").alias("t"))
     r = r.withColumn("t_end", F.col("t") + F.col("event_id") % 7 * 60000000)
-    gap = F.col("t") - F.lag("t").over(Window.partitionBy("disk").orderBy("t", "event_id"))
-    gaps = r.withColumn("gap", gap).groupBy("disk").agg(F.count(F.lit(1)).alias("n"), F.min("gap").alias("min_gap"), F.count_if(F.col("gap") < 60000000).alias("too_fast"))
-    return gaps.join(op.peak_active(r, "disk", "t", "t_end"), "disk")
+    hour = 3_600_000_000
+    gaps = runs.with_previous(r, ["disk"], ["t", "event_id"], {"t_before": F.col("t")}, hour).withColumn("gap", F.col("t") - F.col("t_before"))
+    gaps = gaps.groupBy("disk").agg(F.count(F.lit(1)).alias("n"), F.min("gap").alias("min_gap"), F.count_if(F.col("gap") < 60000000).alias("too_fast"))
+    return gaps.join(op.peak_active(r, "disk", "t", "t_end", hour), "disk")
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from blockloom import fixtures as fx
 from blockloom.operators import journal as op
+from blockloom.operators import runs
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -72,16 +73,28 @@ def activity_page(spark, d):
     return rows.join(F.broadcast(names), "disk_id", "left").select("sequence", "disk_id", F.coalesce("name", "disk_id").alias("disk_name"), "action", "level")
 
 
+# Actions of every ending, with replica rows, warnings and errors among them: (event_id mod 20) names the action.
+ACTIONS = "sync.started object.uploading object.confirmed object.reused upload.reused sync.completed cleanup.deleted pins.removed sync.unchanged copy.verified sync.failed sync.interrupted sync.paused sync.cancelled prepared applied unchanged sync.resumed disk.created sync.conflict".split()
+ROWS = f"""l AS (SELECT event_id, [{", ".join(f"'{a}'" for a in ACTIONS)}][event_id % 20 + 1] AS action, CASE WHEN event_id % 20 IN (14, 15) OR event_id % 7 = 0 THEN 'replica' ELSE 'sync' END AS kind,
+    CASE WHEN event_id % 31 = 0 THEN 'Error' WHEN event_id % 23 = 0 THEN 'WARNING' ELSE 'info' END AS level FROM events)"""
+
+
 @query(
     "log_outcome",
-    fx.with_tables(
-        "activity",
-        """SELECT sequence, CASE WHEN level = 'error' OR regexp_matches(action, '(error|failed|interrupted)$') THEN 'interrupted' WHEN regexp_matches(action, '(completed|succeeded|deleted)$') THEN 'completed'
-        WHEN regexp_matches(action, '(started|resumed|uploading)$') THEN 'running' ELSE 'info' END AS outcome FROM activity""",
-    ),
+    rf"""WITH {ROWS} SELECT event_id, action, CASE WHEN lower(level) = 'error' OR ends_with(action, '.failed') THEN 'failed' WHEN ends_with(action, '.interrupted') THEN 'interrupted'
+        WHEN lower(level) = 'warning' THEN 'warning' WHEN ends_with(action, '.paused') THEN 'paused' WHEN ends_with(action, '.cancelled') THEN 'cancelled'
+        WHEN kind = 'replica' AND action = 'prepared' THEN 'to_confirm' WHEN kind = 'replica' AND action IN ('applied', 'unchanged') THEN 'success'
+        WHEN action IN ('object.reused', 'upload.reused') THEN 'reused'
+        WHEN regexp_matches(action, '\.(confirmed|completed|deleted|removed|unchanged|verified)$') THEN 'success' WHEN ends_with(action, '.started') THEN 'started' ELSE 'record' END AS outcome FROM l""".replace("\\\\.", "[.]").replace("\\.", "[.]"),
 )
 def log_outcome(spark, d):
-    return fx.activity(spark, d).select("sequence", op.outcome(F.col("action"), F.col("level")).alias("outcome"))
+    """Status of log rows of every kind."""
+    e = F.col("event_id")
+    kind = F.when((e % 20).isin(14, 15) | (e % 7 == 0), "replica").otherwise("sync")
+    level = F.when(e % 31 == 0, "Error").when(e % 23 == 0, "WARNING").otherwise("info")
+    action = F.element_at(F.array(*[F.lit(a) for a in ACTIONS]), (e % 20 + 1).cast("int"))
+    rows = fx.raw(spark, d, "events").select("event_id", action.alias("action"), kind.alias("kind"), level.alias("level"))
+    return rows.select("event_id", "action", op.outcome(F.col("action"), F.col("level"), F.col("kind")).alias("outcome"))
 
 
 @query(
@@ -134,8 +147,8 @@ def stage_transitions(spark, d):
     fx.with_tables("activity", "SELECT disk_id, sequence, CAST(sum(bytes) OVER (PARTITION BY disk_id ORDER BY sequence) AS BIGINT) AS freed FROM activity WHERE action = 'cleanup.deleted'"),
 )
 def cleanup_progress(spark, d):
-    w = Window.partitionBy("disk_id").orderBy("sequence")
-    return fx.activity(spark, d).filter("action = 'cleanup.deleted'").select("disk_id", "sequence", F.sum("bytes").over(w).alias("freed"))
+    rows = fx.activity(spark, d).filter("action = 'cleanup.deleted'")
+    return runs.running(rows, ["disk_id"], ["sequence"], "freed", F.col("bytes")).select("disk_id", "sequence", "freed")
 
 
 RECEIPTS = """l AS (SELECT 'j' || (user_id % 5) AS job, event_id, event_id * 5 % 300 AS oid, sha256('p' || event_id) AS page_hash FROM events),
@@ -146,32 +159,33 @@ RECEIPTS = """l AS (SELECT 'j' || (user_id % 5) AS job, event_id, event_id * 5 %
 
 def receipt_pages(spark, d):
     """Receipt log pages chained by hash within a job; some links are broken."""
-    w = Window.partitionBy("job").orderBy("event_id")
     e = F.col("event_id")
     rows = fx.raw(spark, d, "events").select(
         F.concat(F.lit("j"), (F.col("user_id") % 5).cast("string")).alias("job"), e, (e * 5 % 300).alias("oid"), F.sha2(F.concat(F.lit("p"), e.cast("string")), 256).alias("page_hash")
     )
-    rows = rows.withColumn("idx", (F.row_number().over(w) - 1).cast("long")).withColumn("before", F.coalesce(F.lag("page_hash").over(w), F.lit("")))
-    return rows.withColumn("previous", F.when(e % 401 == 400, "broken").otherwise(F.col("before"))).drop("before")
+    rows = runs.running(rows, ["job"], ["event_id"], "idx", F.lit(1).cast("long")).withColumn("idx", F.col("idx") - 1)
+    rows = runs.with_previous(rows, ["job"], ["event_id"], {"before": F.col("page_hash")})
+    return rows.withColumn("previous", F.when(e % 401 == 400, "broken").otherwise(F.coalesce("before", F.lit("")))).drop("before")
 
 
-def sound_link():
-    w = Window.partitionBy("job").orderBy("idx")
-    return (F.col("previous") == F.coalesce(F.lag("page_hash").over(w), F.lit(""))) & (F.col("idx") == F.coalesce(F.lag("idx").over(w) + 1, F.lit(0)))
+def checked_pages(spark, d):
+    """The pages with ``sound``: whether each follows the one before it."""
+    rows = runs.with_previous(receipt_pages(spark, d), ["job"], ["idx"], {"hash_before": F.col("page_hash"), "idx_before": F.col("idx")})
+    sound = (F.col("previous") == F.coalesce("hash_before", F.lit(""))) & (F.col("idx") == F.coalesce(F.col("idx_before") + 1, F.lit(0)))
+    return rows.withColumn("sound", sound).drop("hash_before", "idx_before")
 
 
 @query("journal_prefix", f"WITH {RECEIPTS} SELECT job, idx, ok FROM v")
 def journal_prefix(spark, d):
     """Whether each page lies in its job's valid prefix."""
-    pages = receipt_pages(spark, d).withColumn("sound", sound_link())
-    w = Window.partitionBy("job").orderBy("idx")
-    return pages.select("job", "idx", (F.min(F.col("sound").cast("int")).over(w) == 1).alias("ok"))
+    found = runs.running(checked_pages(spark, d), ["job"], ["idx"], "so_far", F.col("sound").cast("int"), F.min)
+    return found.select("job", "idx", (F.col("so_far") == 1).alias("ok"))
 
 
 @query("receipt_replay", f"WITH {RECEIPTS} SELECT job, oid, min(idx) AS first_idx, count(*) AS n FROM v WHERE ok GROUP BY job, oid")
 def receipt_replay(spark, d):
     """Receipts of the valid prefix; one that repeats changes nothing."""
-    good = op.valid_prefix(receipt_pages(spark, d).withColumn("sound", sound_link()), ["job"], "idx", F.col("sound"))
+    good = op.valid_prefix(checked_pages(spark, d), ["job"], "idx", F.col("sound"))
     return good.groupBy("job", "oid").agg(F.min("idx").alias("first_idx"), F.count(F.lit(1)).alias("n"))
 
 
@@ -204,22 +218,20 @@ def patch_replay(spark, d):
     kind = F.when(F.col("event_type") == "signup", "reset").when(F.col("event_type") == "error", "remove").otherwise("add")
     p = fx.raw(spark, d, "events").select((F.col("user_id") % 3).alias("set_id"), e.alias("seq"), (e % 97).alias("item"), kind.alias("op"))
     resets = p.filter("op = 'reset' and seq % 50 = 0").groupBy("set_id").agg(F.max("seq").alias("reset"))
-    after = p.filter("op <> 'reset'").join(F.broadcast(resets), "set_id", "left").filter(F.col("seq") > F.coalesce("reset", F.lit(-1)))
+    after = p.filter("op <> 'reset'").join(resets, "set_id", "left").filter(F.col("seq") > F.coalesce("reset", F.lit(-1)))
     return after.groupBy("set_id", "item").agg(F.max_by("op", "seq").alias("op")).filter("op = 'add'").drop("op")
 
 
 @query(
     "adaptive_batch",
-    """SELECT event_id // 50 AS run, list_reduce(list_prepend(CAST(128 AS BIGINT), list(CAST(event_id * 37 % 180 AS BIGINT) ORDER BY event_id)),
-        lambda a, ms: CASE WHEN ms <= 25 THEN least(a * 2, 512) WHEN ms > 100 THEN greatest(a // 2, 128) ELSE a END) AS batch FROM events GROUP BY 1""",
+    """WITH g AS (SELECT event_id // 50 AS run, list_reduce(list_prepend(CAST(128 AS BIGINT), list(CAST(CASE WHEN event_id % 29 = 28 THEN -1 ELSE event_id * 37 % 180 END AS BIGINT) ORDER BY event_id)),
+        lambda a, ms: CASE WHEN ms < 0 THEN 128 WHEN ms > 100 THEN greatest(a // 2, 128) WHEN ms <= 25 THEN least(a * 2, 512) ELSE a END) AS batch FROM events GROUP BY 1)
+        SELECT run, CAST(batch AS BIGINT) AS batch, CAST(greatest(least(batch, 300, CASE WHEN run % 3 = 0 THEN 128 ELSE 512 END), 1) AS BIGINT) AS budget FROM g""",
 )
 def adaptive_batch(spark, d):
-    """Batch size after each run of 50 steps: doubled when fast, halved when slow, within 128 and 512."""
+    """Batch size after each run of 50 steps, and what the next step may take of 300 with or without foreground work waiting."""
     e = F.col("event_id")
-    steps = fx.raw(spark, d, "events").groupBy(F.floor(e / 50).alias("run")).agg(F.array_sort(F.collect_list(F.struct(e, (e * 37 % 180).alias("ms")))).alias("steps"))
-    fold = F.aggregate(
-        "steps",
-        F.lit(128).cast("long"),
-        lambda a, s: F.when(s["ms"] <= 25, F.least(a * 2, F.lit(512).cast("long"))).when(s["ms"] > 100, F.greatest(F.shiftright(a, 1), F.lit(128).cast("long"))).otherwise(a),
-    )
-    return steps.select("run", fold.alias("batch"))
+    step = F.struct(e, (e * 37 % 180).alias("ms"), (e % 29 == 28).alias("waiting"))
+    steps = fx.raw(spark, d, "events").groupBy(F.floor(e / 50).alias("run")).agg(F.array_sort(F.collect_list(step)).alias("steps"))  # 50 a run
+    found = steps.select("run", op.batch_after("steps").alias("batch"))
+    return found.withColumn("budget", op.budget(F.col("batch"), F.lit(300), F.col("run") % 3 == 0))

@@ -209,9 +209,15 @@ def pack_slots(spark, d):
     return pack(rows, "pool", "page", 2015)
 
 
-@query("integrity_check", fx.with_tables("page_map", "SELECT page, digest = sha256(CAST(page AS VARCHAR)) AS intact FROM page_map"))
+@query(
+    "integrity_check",
+    fx.with_tables("page_map", "SELECT page, CASE WHEN page % 53 = 0 THEN sha256('x' || page) WHEN page % 59 = 0 THEN NULL ELSE digest END IS NOT DISTINCT FROM sha256(CAST(page AS VARCHAR)) AS intact FROM page_map"),
+)
 def integrity_check(spark, d):
-    return fx.page_map(spark, d).select("page", (F.col("digest") == F.sha2(F.col("page").cast("string"), 256)).alias("intact"))
+    """Whether each page's bytes have the digest stored for it; some digests are damaged, some lost."""
+    page = F.col("page")
+    stored = F.when(page % 53 == 0, F.sha2(F.concat(F.lit("x"), page.cast("string")), 256)).when(page % 59 != 0, F.col("digest"))
+    return fx.page_map(spark, d).select("page", stored.eqNullSafe(F.sha2(page.cast("string"), 256)).alias("intact"))
 
 
 @query(

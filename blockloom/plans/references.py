@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from blockloom import fixtures as fx
 from blockloom.operators import keyed, references as op
+from blockloom.sources.scratch import fresh_path
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -27,9 +28,15 @@ def page_object_join(spark, d):
     return fx.page_map(spark, d).select("page", "oid", "slot").join(fx.objects(spark, d).select("oid", "kind", "sealed", "missing"), "oid")
 
 
-@query("orphan_pages", fx.with_tables("page_map objects", "SELECT page, oid FROM page_map WHERE oid NOT IN (SELECT oid FROM objects WHERE kind = 1)"))
+PLANTED_PAGES = "planted AS (SELECT page, CASE WHEN page % 29 = 0 THEN -oid WHEN page % 37 = 0 THEN oid + 5 ELSE oid END AS oid FROM page_map)"
+
+
+@query("orphan_pages", fx.with_tables("page_map objects", f"WITH {PLANTED_PAGES} SELECT page, oid FROM planted WHERE oid NOT IN (SELECT oid FROM objects WHERE kind = 1)"))
 def orphan_pages(spark, d):
-    return op.orphans(fx.page_map(spark, d).select("page", "oid"), fx.objects(spark, d))
+    """Pages of a damaged mapping: some name no object, some one that holds no pages."""
+    page, oid = F.col("page"), F.col("oid")
+    planted = fx.page_map(spark, d).select("page", F.when(page % 29 == 0, -oid).when(page % 37 == 0, oid + 5).otherwise(oid).alias("oid"))
+    return op.orphans(planted, fx.objects(spark, d))
 
 
 def moved(pages):
@@ -133,14 +140,14 @@ def reachable_refs(spark, d):
     """What can be reached from three roots, with the number of direct links of each."""
     edges, roots = tree(spark, d)
     children = edges.groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("children"))
-    return op.reachable(spark, edges, roots).join(children, "node", "left").withColumn("children", F.coalesce("children", F.lit(0)))
+    return op.reachable(spark, edges, roots, fresh_path(spark, "walk")).join(children, "node", "left").withColumn("children", F.coalesce("children", F.lit(0)))
 
 
 @query("restore_walk", fx.with_tables("objects", f"WITH {EDGES}, {WALK} SELECT depth, count(*) AS n, count(*) FILTER (missing) AS pending FROM walk JOIN objects ON oid = node GROUP BY depth", recursive=True))
 def restore_walk(spark, d):
     """Objects of a restore by depth, and how many of them must still be fetched."""
     edges, roots = tree(spark, d)
-    found = op.reachable(spark, edges, roots).join(fx.objects(spark, d).select(F.col("oid").alias("node"), "missing"), "node")
+    found = op.reachable(spark, edges, roots, fresh_path(spark, "walk")).join(fx.objects(spark, d).select(F.col("oid").alias("node"), "missing"), "node")
     return found.groupBy("depth").agg(F.count(F.lit(1)).alias("n"), F.count_if("missing").alias("pending"))
 
 
@@ -195,19 +202,23 @@ def gc_protected(spark, d):
 
 @query(
     "partition_check",
-    fx.with_tables("objects_full transfer", f"WITH {PROTECTED} SELECT count(*) AS candidates, count(reason) AS kept, count(*) - count(reason) AS allowed, count(DISTINCT oid) = count(*) AS exact FROM protected"),
+    fx.with_tables(
+        "objects_full transfer",
+        f"""WITH {PROTECTED}, parts AS (SELECT oid, 'allowed' AS part FROM protected WHERE reason IS NULL AND oid % 97 <> 0 UNION ALL SELECT oid, 'kept' FROM protected WHERE reason IS NOT NULL
+            UNION ALL SELECT oid, 'kept' FROM protected WHERE reason IS NULL AND oid % 89 = 0 UNION ALL SELECT oid + 1000000000, 'allowed' FROM protected WHERE oid % 83 = 0)
+        SELECT CASE WHEN c.oid IS NULL THEN 'foreign' WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'twice' ELSE 'exact' END AS verdict, count(*) AS n_objects
+        FROM protected c FULL JOIN (SELECT oid, count(*) AS n FROM parts GROUP BY oid) p ON c.oid = p.oid GROUP BY 1""",
+    ),
 )
 def partition_check(spark, d):
-    """Allowed and protected objects together are the candidates, none twice."""
+    """Whether allowed and protected objects together are the candidates, on parts that lack some, repeat some and hold foreign ones."""
     p = protected(spark, d)
-    parts = p.filter("reason is null").select("oid", F.lit("allowed").alias("part")).unionByName(p.filter("reason is not null").select("oid", F.lit("kept").alias("part")))
-    both = p.select("oid").join(parts.groupBy("oid").agg(F.count(F.lit(1)).alias("n"), F.max("part").alias("part")), "oid", "full")
-    return both.agg(
-        F.count(F.lit(1)).alias("candidates"),
-        F.count_if(F.col("part") == "kept").alias("kept"),
-        F.count_if(F.col("part") == "allowed").alias("allowed"),
-        F.bool_and(F.coalesce(F.col("n") == 1, F.lit(False))).alias("exact"),
-    )
+    free, oid = F.col("reason").isNull(), F.col("oid")
+    parts = [p.filter(free & (oid % 97 != 0)), p.filter(~free), p.filter(free & (oid % 89 == 0)), p.filter(oid % 83 == 0).withColumn("oid", oid + 1000000000)]
+    every = parts[0].select("oid")
+    for x in parts[1:]:
+        every = every.unionByName(x.select("oid"))
+    return op.partition_verdicts(p.select("oid"), every, "oid").groupBy("verdict").agg(F.count(F.lit(1)).alias("n_objects"))
 
 
 COMPACT = """c AS (SELECT o.oid, o.oid % 8 AS volume, o.extent // 8 + 1 AS extent, o.sealed AND o.oid % 19 <> 0 AND t.transfer_state IS NULL AS movable
@@ -287,12 +298,18 @@ def object_heat(spark, d):
     "read_streaks",
     fx.with_tables(
         "read_log",
-        f"""WITH {READS}, s AS (SELECT *, sum(start) OVER (PARTITION BY disk ORDER BY tick) AS streak FROM marked)
-        SELECT disk, min(tick) AS first_tick, count(*) AS reads, CAST(sum(len) AS BIGINT) AS n_bytes, count(*) >= 3 AS prefetch FROM s GROUP BY disk, streak""",
+        f"""WITH r AS (SELECT (tick // 32) % 8 AS disk, tick, off, CASE WHEN tick % 5 = 4 THEN 4096 ELSE len END AS len FROM read_log),
+        s AS (SELECT *, sum(start) OVER (PARTITION BY disk ORDER BY tick) AS streak FROM (
+            SELECT *, CASE WHEN off = lag(off + len) OVER (PARTITION BY disk ORDER BY tick) THEN 0 ELSE 1 END AS start FROM r WHERE len >= 65536)),
+        g AS (SELECT disk, min(tick) AS first_tick, count(*) AS reads, CAST(sum(len) AS BIGINT) AS n_bytes FROM s GROUP BY disk, streak)
+        SELECT *, CAST(CASE WHEN reads >= 3 THEN least(8, 1 + least(n_bytes, 8 * {fx.OBJECT_SIZE}) // {fx.OBJECT_SIZE}) ELSE 0 END AS BIGINT) AS prefetch FROM g""",
     ),
 )
 def read_streaks(spark, d):
-    return op.streaks(reads(spark, d), "disk", "tick", "off", "len").withColumn("prefetch", F.col("reads") >= 3)
+    """Streaks of adjoining reads and what to fetch ahead; some reads are shorter than 64 KiB and do not count."""
+    short = reads(spark, d).withColumn("len", F.when(F.col("tick") % 5 == 4, F.lit(4096).cast("long")).otherwise(F.col("len")))
+    found = op.streaks(short, "disk", "tick", "off", "len")
+    return found.withColumn("prefetch", op.prefetch_objects(F.col("n_bytes"), F.col("reads"), fx.OBJECT_SIZE, 8))
 
 
 CANDIDATES = f"""{READS}, warm AS (SELECT disk * 600 + object * 6 + 1 AS oid, max(last) AS last, CAST(sum(frequency) AS BIGINT) AS frequency, arg_max(sequential, last) AS sequential FROM heat GROUP BY 1),

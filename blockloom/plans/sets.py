@@ -145,12 +145,19 @@ def latest_commit(spark, d):
 
 @query(
     "list_disks",
-    fx.with_tables("commits", "SELECT volume, generation, root_id, name FROM (SELECT *, row_number() OVER (PARTITION BY volume ORDER BY generation DESC, root_id DESC) AS k FROM commits) WHERE k = 1"),
+    fx.with_tables(
+        "commits",
+        """WITH g AS (SELECT volume, generation, min(root_id) AS root_id, min(name) AS name, count(DISTINCT root_id) AS roots FROM commits GROUP BY volume, generation),
+        n AS (SELECT *, row_number() OVER (PARTITION BY volume ORDER BY generation DESC) AS k FROM g)
+        SELECT volume, generation, roots > 1 AS conflict, CASE WHEN roots = 1 THEN root_id END AS root_id, CASE WHEN roots = 1 THEN name END AS name FROM n WHERE k = 1""",
+    ),
 )
 def list_disks(spark, d):
-    """The latest commit of each volume, pre-aggregated before the shuffle."""
-    last = fx.commits(spark, d).groupBy("volume").agg(F.max(F.struct("generation", "root_id", "name")).alias("c"))
-    return last.select("volume", "c.generation", "c.root_id", "c.name")
+    """The latest commit of each volume; where two roots share the newest generation none is chosen."""
+    g = fx.commits(spark, d).groupBy("volume", "generation").agg(F.min(F.struct("root_id", "name")).alias("low"), F.max(F.struct("root_id", "name")).alias("high"))
+    last = g.groupBy("volume").agg(F.max("generation").alias("generation"), F.max_by(F.struct("low", "high"), "generation").alias("c"))
+    one = F.col("c.low.root_id") == F.col("c.high.root_id")
+    return last.select("volume", "generation", (~one).alias("conflict"), F.when(one, F.col("c.low.root_id")).alias("root_id"), F.when(one, F.col("c.low.name")).alias("name"))
 
 
 @query(

@@ -61,18 +61,19 @@ def disks(spark, d):
 
 @query(
     "eviction_gate",
-    f"""WITH {DISKS} SELECT disk, CASE WHEN cache_limit = 0 THEN 'unlimited' WHEN NOT online THEN 'offline' WHEN NOT ready THEN 'source_not_ready' WHEN restoring THEN 'restore_incomplete'
-        WHEN used <= cache_limit THEN 'within_limit' WHEN readers > 0 THEN 'active_readers' END AS gate,
-        CAST(least(greatest((used - cache_limit + {fx.OBJECT_SIZE - 1}) // {fx.OBJECT_SIZE}, 1), 8) AS BIGINT) AS step FROM disks""",
+    f"""WITH {DISKS}, p AS (SELECT *, disk % 5 <> 4 AS available, disk * 7 % 40 AS pending FROM disks)
+        SELECT disk, CASE WHEN cache_limit = 0 THEN 'unlimited' WHEN NOT online THEN 'offline' WHEN NOT ready THEN 'source_not_ready' WHEN NOT available THEN 'provider_unavailable'
+        WHEN restoring THEN 'restore_incomplete' WHEN used <= cache_limit THEN 'within_limit' WHEN pending >= 32 THEN 'active_readers' END AS gate,
+        CAST(greatest(0, least(greatest((greatest(used - cache_limit, 0) + {fx.OBJECT_SIZE - 1}) // {fx.OBJECT_SIZE}, 1), 8, 32 - pending)) AS BIGINT) AS step FROM p""",
 )
 def eviction_gate(spark, d):
     """Why a disk's cache is not trimmed, and how many objects the next step would take."""
-    from blockloom.functions.numbers import ceil_div, clamp
+    from blockloom.operators.references import eviction_count
 
-    gate = op.eviction_gate(F.col("cache_limit"), F.col("online"), F.col("ready"), F.col("restoring"), F.col("used"), F.col("readers"))
-    over = F.col("used") - F.col("cache_limit")
-    step = F.when(over > 0, clamp(ceil_div(over, fx.OBJECT_SIZE), 1, 8)).otherwise(1).cast("long")
-    return disks(spark, d).select("disk", gate.alias("gate"), step.alias("step"))
+    p = disks(spark, d).withColumns({"available": F.col("disk") % 5 != 4, "pending": F.col("disk") * 7 % 40})
+    gate = op.eviction_gate(*(F.col(c) for c in ("cache_limit", "online", "ready", "available", "restoring", "used", "pending")))
+    step = eviction_count(F.col("used"), F.col("cache_limit"), fx.OBJECT_SIZE, F.lit(8), F.col("pending"))
+    return p.select("disk", gate.alias("gate"), step.alias("step"))
 
 
 @query(
@@ -95,17 +96,26 @@ def source_routing(spark, d):
 
 @query(
     "restore_phase",
-    fx.with_tables(
-        "objects",
-        f"""SELECT oid % 16 AS job, count(*) * {fx.OBJECT_SIZE} AS total_bytes, count(*) FILTER (NOT missing) * {fx.OBJECT_SIZE} AS done_bytes,
-        CASE WHEN count(*) FILTER (missing) > count(*) * 0.1 THEN 'downloading' WHEN count(*) FILTER (NOT sealed) > count(*) * 0.07 THEN 'indexing' ELSE 'verifying' END AS phase FROM objects GROUP BY 1""",
-    ),
+    """WITH j AS (SELECT event_id AS job, CASE event_id % 4 WHEN 0 THEN 'planning' WHEN 1 THEN 'fetching' ELSE 'building' END AS native, CASE WHEN event_id % 3 = 0 THEN 'data' ELSE 'index' END AS work FROM events)
+        SELECT job, CASE WHEN native = 'building' THEN CASE WHEN work = 'data' THEN 'verifying' ELSE 'indexing' END ELSE 'downloading' END AS phase FROM j""",
 )
 def restore_phase(spark, d):
-    """Phase and bytes of each restore job."""
-    n, missing, unsealed = F.count(F.lit(1)), F.count_if("missing"), F.count_if(~F.col("sealed"))
-    phase = F.when(missing > n * 0.1, "downloading").when(unsealed > n * 0.07, "indexing").otherwise("verifying")
-    return fx.objects(spark, d).groupBy((F.col("oid") % 16).alias("job")).agg((n * fx.OBJECT_SIZE).alias("total_bytes"), ((n - missing) * fx.OBJECT_SIZE).alias("done_bytes"), phase.alias("phase"))
+    """Phase shown for each restore from its native and work phases."""
+    e = F.col("event_id")
+    native = F.when(e % 4 == 0, "planning").when(e % 4 == 1, "fetching").otherwise("building")
+    work = F.when(e % 3 == 0, "data").otherwise("index")
+    return fx.raw(spark, d, "events").select(e.alias("job"), op.restore_phase(native, work).alias("phase"))
+
+
+@query(
+    "job_status",
+    """WITH j AS (SELECT o_orderkey AS job, o_orderkey % 5 <> 4 AS preparing, o_custkey % 4 AS sealed, o_orderkey % 4 AS tails, o_orderkey % 11 = 0 AS seeding, o_custkey % 300 AS processed, o_orderkey % 200 AS changed FROM orders)
+        SELECT job, CASE WHEN NOT preparing THEN 'ready' WHEN sealed < tails THEN 'sealing' WHEN seeding OR processed < changed THEN 'indexing' ELSE 'root' END AS stage FROM j""",
+)
+def job_status(spark, d):
+    """Stage of each publication that is being prepared, from its cursors."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    return fx.raw(spark, d, "orders").select(k.alias("job"), op.prepare_stage(k % 5 != 4, c % 4, k % 4, k % 11 == 0, c % 300, k % 200).alias("stage"))
 
 
 @query(

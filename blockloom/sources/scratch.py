@@ -11,9 +11,12 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a folder of our own, removed at exit, where it is unset."""
+    """The session's checkpoint folder; where it is unset, a folder of our own, removed at exit, but on one machine only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         own = tempfile.mkdtemp(prefix="blockloom-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         found = f"file://{own}"

@@ -10,21 +10,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from blockloom.operators import catalog, keyed
-from blockloom.sources.versioned import VersionedTable
+from blockloom.sources.versioned import VersionedTable, bucket_of
 
 
-def fold_writes(table: VersionedTable, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:
+def fold_writes(table: VersionedTable, keys: list[str], order: str, buckets: int = 64) -> Callable[[DataFrame, int], None]:
     """foreachBatch function: merge a batch of writes into the table's next version, last writer wins.
 
-    The batch number names the commit, so a batch that is run again after a
-    failure publishes nothing twice.
+    Only the buckets that the batch has keys of are read and written.  The batch
+    number names the commit, so a batch that is run again after a failure
+    publishes nothing twice.
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        found = table.commits()
-        rows = batch if not found else batch.unionByName(table.read())
+        now, bucket = table.latest(), bucket_of(keys, buckets)
+        touched = [r.b for r in batch.select(bucket.alias("b")).distinct().collect()]  # at most ``buckets`` numbers
+        rows = batch.unionByName(table.read(now, touched)) if now else batch
         values = [c for c in batch.columns if c not in (*keys, order)]
-        table.commit(keyed.last_per_key(rows, keys, order, *values).select(*batch.columns), f"b{number}")
+        folded = keyed.last_per_key(rows, keys, order, *values).select(*batch.columns)
+        table.commit_buckets(folded, bucket, touched, f"b{number}")
 
     return run
 
