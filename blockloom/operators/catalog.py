@@ -82,3 +82,78 @@ def apply_changes(counts: DataFrame, changes: DataFrame, keys: list[str]) -> Dat
     both = counts.select(*keys, "n").unionByName(changes.select(*keys, F.col("delta").alias("n")))
     total = both.groupBy(*keys).agg(F.sum("n").alias("n")).filter("n <> 0")
     return total.withColumn("n", F.when(F.col("n") < 0, F.raise_error(F.lit("negative counter")).cast("long")).otherwise(F.col("n")))
+
+
+# States a block can be shown in, the stored ones first.
+STATES = ["local", "pending", "uploaded", "synced", "uploading", "failed"]
+TYPES = ["data", "ntfs_mft", "ntfs_log", "ntfs_usn", "ntfs_metadata", "container_index"]
+MOST_BLOCKS = 256
+
+
+def block_page(view: DataFrame, extents: int, state: str | None = None, kind: str | None = None, start: int | None = None, page: int | None = None, limit: int | None = None) -> DataFrame:
+    """(extent, oid, shown, content_type, total): a page of blocks in order of extent.
+
+    Limits are clamped to 1..256 (256 by default); a page counts in limits, a
+    start in blocks.  Without a filter every extent is a block, whatever it
+    holds; with one, only objects that are here and match.  Names that are not
+    known are an error.
+    """
+    if state is not None and state not in STATES:
+        raise ValueError("unknown sync state filter")
+    if kind is not None and kind not in TYPES:
+        raise ValueError("unknown content type filter")
+    size = max(1, min(MOST_BLOCKS, MOST_BLOCKS if limit is None else limit))
+    first = start if start is not None else (page or 0) * size
+    columns = ["extent", "oid", "shown", "content_type"]
+    if state is None and kind is None:
+        wanted = view.sparkSession.range(first, max(first, min(extents, first + size))).withColumnRenamed("id", "extent")
+        held = view.filter(F.col("extent").isNotNull() & (F.col("extent") >= first) & (F.col("extent") < first + size)).select(*columns)
+        return wanted.join(held, "extent", "left").select(*columns, F.lit(extents).cast("long").alias("total"))
+    hits = view.filter(~F.col("missing"))
+    for column, value in (("shown", state), ("content_type", kind)):
+        hits = hits if value is None else hits.filter(F.col(column) == value)
+    total = hits.agg(F.count(F.lit(1))).first()[0]
+    return hits.select(*columns).orderBy("extent").offset(first).limit(size).withColumn("total", F.lit(total))
+
+
+def totals(view: DataFrame, object_size: int) -> DataFrame:
+    """One row of totals over a view with its runtime states."""
+    pending, missing = F.col("is_pending"), F.col("missing")
+    return view.agg(
+        F.count(F.lit(1)).alias("objects"),
+        F.count_if(~missing).alias("resident_objects"),
+        F.count_if(missing).alias("missing_objects"),
+        *(F.count_if(F.col("shown") == s).alias(f"{s}_objects") for s in STATES),
+        F.count_if(pending).alias("pending_total"),
+        (F.count_if(pending) * object_size).alias("pending_bytes"),
+        F.count_if(pending & ~missing).alias("pending_resident"),
+        F.count_if(pending & missing).alias("pending_missing"),
+        F.count_if((F.col("sync_state") == 1) & ~F.col("confirmed")).alias("job_remaining"),
+    )
+
+
+def projection(view: DataFrame, page_size: int, object_size: int) -> DataFrame:
+    """Objects as they are shown, from a view with refs, used, job (is a job ready) and counted (does it count the object).
+
+    Pins are true, false or, where only a walk could tell, null.
+    """
+    refs, current = F.col("refs"), F.col("current_refs")
+    snapshot = F.when(refs == 0, False).when((current == 0) & ~F.col("job"), True)
+    upload = F.when(F.col("counted"), True).when(F.col("job"), False)
+    return view.select(
+        F.col("extent").alias("block"),
+        "oid",
+        F.when(F.col("kind") == 1, "data").otherwise("metadata").alias("object_kind"),
+        "content_type",
+        F.col("shown").alias("sync_state"),
+        ((F.col("sync_state") >= 2) | F.col("confirmed")).alias("uploaded"),
+        "sealed",
+        F.col("used").alias("used_pages"),
+        (F.col("used") * page_size).alias("used_bytes"),
+        refs.alias("local_reference_count"),
+        current.alias("current_reference_count"),
+        F.col("cloud_refs").alias("cloud_reference_count"),
+        snapshot.alias("snapshot_pinned"),
+        upload.alias("upload_pinned"),
+        F.lit(object_size).cast("long").alias("length"),
+    )

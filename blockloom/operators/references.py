@@ -61,6 +61,13 @@ def protection(objects: DataFrame, reasons: list[tuple[str, Column]]) -> DataFra
     return objects.withColumn("reason", first)
 
 
+def dependency_violations(pages: DataFrame, table: DataFrame, capacity: int, slots: int, itself: Column, key: str = "oid") -> DataFrame:
+    """Pages that a published descriptor must not hold, with the first rule each breaks."""
+    listed = table.select(key, F.lit(True).alias("listed"))
+    rule = F.when(F.col("page") >= capacity, "capacity").when(F.col("slot") >= slots, "slot").when(itself, "itself").when(F.col("listed").isNull(), "unknown_object")
+    return pages.join(listed, key, "left").withColumn("violation", rule).filter("violation is not null")
+
+
 def partition_verdicts(candidates: DataFrame, parts: DataFrame, key: str) -> DataFrame:
     """(key, verdict) for parts that should make up the candidates: exact, missing, twice or foreign."""
     a = candidates.select(key, F.lit(1).alias("wanted"))

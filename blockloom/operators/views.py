@@ -57,3 +57,8 @@ def prepare_stage(preparing: Column, sealed: Column, tails: Column, seeding: Col
 def restore_phase(phase: Column, work: Column) -> Column:
     """Phase shown for a restore: while it builds, data is verified and all else indexed; before, objects are downloaded."""
     return first_match([((phase == "building") & (work == "data"), "verifying"), (phase == "building", "indexing")], "downloading")
+
+
+def quota_eligible(limit: Column, online: Column, eviction_ready: Column, source_ready: Column, origin_ready: Column, over: Column) -> Column:
+    """Whether a disk's limit is to be enforced; where readiness is not told, a ready source or origin counts."""
+    return (limit > 0) & online & F.coalesce(eviction_ready, source_ready | origin_ready) & (over > 0)

@@ -81,11 +81,11 @@ ROWS = f"""l AS (SELECT event_id, [{", ".join(f"'{a}'" for a in ACTIONS)}][event
 
 @query(
     "log_outcome",
-    rf"""WITH {ROWS} SELECT event_id, action, CASE WHEN lower(level) = 'error' OR ends_with(action, '.failed') THEN 'failed' WHEN ends_with(action, '.interrupted') THEN 'interrupted'
+    f"""WITH {ROWS} SELECT event_id, action, CASE WHEN lower(level) = 'error' OR ends_with(action, '.failed') THEN 'failed' WHEN ends_with(action, '.interrupted') THEN 'interrupted'
         WHEN lower(level) = 'warning' THEN 'warning' WHEN ends_with(action, '.paused') THEN 'paused' WHEN ends_with(action, '.cancelled') THEN 'cancelled'
         WHEN kind = 'replica' AND action = 'prepared' THEN 'to_confirm' WHEN kind = 'replica' AND action IN ('applied', 'unchanged') THEN 'success'
         WHEN action IN ('object.reused', 'upload.reused') THEN 'reused'
-        WHEN regexp_matches(action, '\.(confirmed|completed|deleted|removed|unchanged|verified)$') THEN 'success' WHEN ends_with(action, '.started') THEN 'started' ELSE 'record' END AS outcome FROM l""".replace("\\\\.", "[.]").replace("\\.", "[.]"),
+        WHEN regexp_matches(action, '[.](confirmed|completed|deleted|removed|unchanged|verified)$') THEN 'success' WHEN ends_with(action, '.started') THEN 'started' ELSE 'record' END AS outcome FROM l""",
 )
 def log_outcome(spark, d):
     """Status of log rows of every kind."""

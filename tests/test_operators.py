@@ -152,3 +152,37 @@ def test_digests_and_keys(spark):
     assert found[1][1] == __import__("hmac").new(b"key", data, "sha256").hexdigest() and found[3][1] is None
     key = df.filter("k = 1").select(crypto.derive_key(10)(F.lit("pw"), "d").alias("x")).first().x
     assert bytes(key) == hashlib.pbkdf2_hmac("sha256", b"pw", data, 10)
+
+
+def test_windows_in_runs_equal_plain_windows(spark):
+    from pyspark.sql import Window
+
+    from blockloom.operators import runs
+
+    rows = spark.range(0, 400).select((F.col("id") % 3).alias("k"), (F.col("id") * 37 % 401).alias("o"), (F.col("id") * 13 % 29).alias("v")).withColumn("v", F.when(F.col("v") != 5, F.col("v")))
+    w = Window.partitionBy("k").orderBy("o")
+    got = runs.with_previous(rows, ["k"], ["o"], {"p": F.col("v")}, 16)
+    want = rows.withColumn("p", F.lag("v").over(w))
+    assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
+    for total in (F.sum, F.min, F.max):
+        for inclusive in (True, False):
+            got = runs.running(rows, ["k"], ["o"], "t", F.col("v"), total, 16, inclusive)
+            want = rows.withColumn("t", total("v").over(w.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)))
+            assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
+
+
+def test_reach_ends_in_circles_and_counts_shared_nodes_once(spark, tmp_path):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (1, 4), (2, 4), (4, 5), (9, 10)], "parent long, child long")
+    roots = spark.createDataFrame([(1,)], "node long")
+    assert sorted(map(tuple, references.reachable(spark, edges, roots, f"file://{tmp_path}/a").collect())) == [(1, 0), (2, 1), (3, 2), (4, 1), (5, 2)]
+    chain = spark.range(1, 60).select(F.col("id").alias("parent"), (F.col("id") + 1).alias("child"))
+    assert references.reachable(spark, chain, roots, f"file://{tmp_path}/b").count() == 60
+    assert references.reachable(spark, edges, roots.limit(0), f"file://{tmp_path}/c").collect() == []
+
+
+def test_unknown_filters_are_errors(spark):
+    from blockloom.operators import catalog as c
+
+    for bad in ({"state": "lost"}, {"kind": "video"}):
+        with pytest.raises(ValueError):
+            c.block_page(spark.range(1), 1, **bad)

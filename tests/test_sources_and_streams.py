@@ -28,6 +28,47 @@ def test_versions(spark, tmp_path):
         t.read(1)
 
 
+def test_of_two_concurrent_commits_one_wins(spark, tmp_path):
+    """The second writer publishes between the first one's look at the versions and its own publishing."""
+    root = f"file://{tmp_path}/t"
+    first, second = VersionedTable(spark, root), VersionedTable(spark, root)
+    publish = first._publish
+
+    def late(version, description):
+        assert second.commit(spark.range(7), "second") == version
+        publish(version, description)
+
+    first._publish = late
+    with pytest.raises(VersionConflict):
+        first.commit(spark.range(3), "first")
+    assert first.commits() == {1: "second"} and first.read().count() == 7
+    first._publish = publish
+    assert first.commit(spark.range(3), "first") == 2 and second.read().count() == 3
+
+
+def test_buckets_take_over_what_a_commit_does_not_touch(spark, tmp_path):
+    t = VersionedTable(spark, f"file://{tmp_path}/t")
+    rows = lambda ks, v: spark.createDataFrame([(k, v) for k in ks], "k long, v long")
+    bucket = (F.col("k") % 4).cast("int")
+    t.commit_buckets(rows(range(12), 1), bucket, [0, 1, 2, 3], "a")
+    t.commit_buckets(rows([1, 5], 2), bucket, [1, 2], "b")  # bucket 2 becomes empty, 9 goes from bucket 1
+    assert sorted((r.k, r.v) for r in t.read().collect()) == [(0, 1), (1, 2), (3, 1), (4, 1), (5, 2), (7, 1), (8, 1), (11, 1)]
+    assert sorted(r.k for r in t.read(buckets=[1, 2]).collect()) == [1, 5] and t.read(1).count() == 12
+    assert t.keep(1) == [1] and t.read().count() == 8
+    t.commit_buckets(rows([], 1), bucket, [0, 1, 3], "c")
+    assert t.read().collect() == [] and t.read().columns == ["k", "v"]
+
+
+def test_no_machine_local_folder_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from blockloom.sources import scratch
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        scratch.shared_dir(session)
+
+
 def test_journal_round_trip_and_damage(spark, tmp_path):
     rows = spark.range(1, 46).select(
         F.col("id").alias("sequence"), F.concat(F.lit("disk-"), (F.col("id") % 2).cast("string")).alias("disk_id"), F.when(F.col("id") % 7 == 0, "error").otherwise("info").alias("level")
