@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blockloom.llm.arrays import by_shard, local_path, map_array, mix, shard_of, squeeze, tally, unsqueeze, write_array
-from blockloom.llm.common import Scratch, text_slices
+from blockloom.llm.common import Scratch, quoted, text_slices
 
 END = b" end"  # no word holds a space
 UNSEEN = (1 << 32) - 1
@@ -160,7 +160,7 @@ def train(docs: DataFrame, learn_from: Column, text_col: str = "text") -> dict:
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
     folder = local_path(scratch.path("model"))
-    texts = docs.filter(learn_from).select(F.col(text_col).alias("text"))
+    texts = docs.filter(learn_from).select(F.col(quoted(text_col)).alias("text"))
     shards = min(MOST_SHARDS, max(4, 4 * texts.rdd.getNumPartitions()))
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,11 +187,12 @@ def train(docs: DataFrame, learn_from: Column, text_col: str = "text") -> dict:
         write_array(folder, f"words-{shard}", keys)
         write_array(folder, f"counts-{shard}", counts)
         top = np.argsort(-counts, kind="stable")[:4]
-        return pa.table({"shard": [shard], "n": [len(keys)], "total": [int(counts.sum())], "top": [top.tolist()], "top_n": [counts[top].tolist()]})
+        ends = int(counts[keys == np.uint64(xxhash.xxh3_64_intdigest(END))].sum())  # a text has one end
+        return pa.table({"shard": [shard], "n": [len(keys)], "total": [int(counts.sum())], "ends": [ends], "top": [top.tolist()], "top_n": [counts[top].tolist()]})
 
     sent = "shard int, keys binary, counts binary"
     rows = texts.mapInArrow(count_words, sent).groupBy("shard").applyInArrow(
-        write_words, "shard long, n long, total long, top array<long>, top_n array<long>"
+        write_words, "shard long, n long, total long, ends long, top array<long>, top_n array<long>"
     ).collect()  # one row a shard
     sizes = [0] * shards
     for r in rows:
@@ -273,7 +274,6 @@ def train(docs: DataFrame, learn_from: Column, text_col: str = "text") -> dict:
     sum_up = lambda rows, n: [sum(r[k] for r in rows) for k in range(n)]
     n_pairs = sum_up([r.numbers for r in pair_rows], 5)
     n_before = sum_up([r.numbers for r in befores], 6)
-    starts = texts.count() if rows else 0
     lower = discounts(n_before[:4])
     return {
         "folder": folder,
@@ -284,7 +284,7 @@ def train(docs: DataFrame, learn_from: Column, text_col: str = "text") -> dict:
         "pair_shards": sorted(r.shard for r in pair_rows),
         "tokens": total,
         "kinds": int(first[-1]),
-        "texts": starts,
+        "texts": sum(r.ends for r in rows),
         "upper": discounts(n_pairs[1:]),
         "lower": lower,
         "befores": n_before[5],
@@ -366,6 +366,6 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "n_known", "base_score", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
     found = rows.mapInArrow(run, f"id {kind}, n_tokens long, n_known long, base_score double, score double")
     return found.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))).withColumnRenamed("id", id_col)
