@@ -116,7 +116,7 @@ class BlockMaxIndex:
         term = np.concatenate([at for at, _ in vectors]) if vectors else np.zeros(0, dtype=np.int64)
         weight = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0)
         order = np.lexsort((example, term))
-        term, self.example, self.weight = term[order], example[order].astype(np.int32), weight[order]
+        term, self.example, self.weight = term[order], example[order], weight[order]
         block = self.example // BLOCK
         first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])]) if len(term) else np.zeros(0, dtype=np.int64)
         self.first, self.count = first, np.diff(np.r_[first, len(term)])  # postings of each entry (term, block)
@@ -239,10 +239,12 @@ class Model:
         return float(1 / (1 + np.exp(-x))), [self.ids[j] for j in found[:3]], [float(c) for c in cosine[:3]]
 
 
-def sample_labelled(docs: DataFrame, labels: DataFrame, per_class: int, most_chars: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
+def sample_labelled(docs: DataFrame, labels: DataFrame, every: dict[int, int], per_class: int, most_chars: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
     """(id, text, y) of at most ``per_class`` labelled rows of each class, those with the smallest hash of their id.
 
-    Whole texts, in that order, as long as a class has no more than ``most_chars`` characters.
+    Whole texts, in that order, as long as a class has no more than ``most_chars``
+    characters.  ``every`` is how many labels a class has; a share of the hashes
+    that holds several times the sample is ranked, so the ranking does not grow.
     """
     y = F.col(quoted(label_col)).cast("int")
     order = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id")
@@ -251,6 +253,7 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, per_class: int, most_cha
         .filter("id is not null and y in (0, 1)")
         .groupBy("id")
         .agg(F.max("y").alias("y"))
+        .filter((F.xxhash64("id").cast("double") / 2.0**64 + 0.5) * F.when(F.col("y") == 1, every.get(1, 0)).otherwise(every.get(0, 0)) <= 4 * per_class + 100)
         .withColumn("k", F.row_number().over(order))
         .filter(F.col("k") <= per_class)
         .drop("k")
@@ -261,7 +264,7 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, per_class: int, most_cha
     return found.withColumn("chars", F.sum(F.length("text")).over(order)).filter(F.col("chars") <= most_chars).drop("chars")
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 600, most_chars: int = 8_000_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 300, most_chars: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on at most ``per_class`` labelled rows and ``most_chars`` characters of each class.
 
     Labels other than 0 and 1 are left out; an id labelled both ways counts as
@@ -270,7 +273,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 600, most_chars:
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxicity")
-    sample = scratch.save(sample_labelled(docs, labels, per_class, most_chars, id_col, text_col, label_col), "sample")
+    every = {r.y: r.n for r in labels.groupBy(F.col(quoted(label_col)).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n")).filter("y in (0, 1)").collect()}  # two rows
+    sample = scratch.save(sample_labelled(docs, labels, every, per_class, most_chars, id_col, text_col, label_col), "sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter()
@@ -285,7 +289,6 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 600, most_chars:
     rows = sorted(
         zip(rows["id"].to_pylist(), rows["y"].to_pylist(), (np.asarray(x.values) for x in rows["terms"]), (np.asarray(x.values) for x in rows["n"]), strict=True), key=lambda r: (str(r[0]), r[1])
     )
-    every = {r.y: r.n for r in labels.groupBy(F.col(quoted(label_col)).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n")).filter("y in (0, 1)").collect()}  # two rows
     drawn = [sum(y == v for _, y, *_ in rows) for v in (0, 1)]
     shares = tuple(every.get(v, 0) / drawn[v] if drawn[v] else 1.0 for v in (0, 1))
     model = Model([r[0] for r in rows], [(t.view(np.uint64), n) for _, _, t, n in rows], [r[1] for r in rows], shares)
