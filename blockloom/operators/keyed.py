@@ -44,6 +44,16 @@ def rank_of_key(df: DataFrame, key: str, values: list[int]) -> DataFrame:
     return df.agg(F.array(*counts).alias("r")).select(F.inline("r"))
 
 
+TRIM_WIDTH = 1 << 20
+
+
+def after_trims(live: DataFrame, trims: DataFrame, width: int = TRIM_WIDTH) -> DataFrame:
+    """Pages (volume_id, page, seq) that no later trim (tv, tfirst, tlast, ts) of their volume covers: a join on ranges of ``width`` pages."""
+    spread = trims.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("tfirst") / width), F.floor(F.col("tlast") / width))))
+    covers = (F.col("volume_id") == F.col("tv")) & (F.floor(F.col("page") / width) == F.col("bucket")) & F.col("page").between(F.col("tfirst"), F.col("tlast"))
+    return live.join(spread, covers & (F.col("ts") > F.col("seq")), "left_anti")
+
+
 def keyset_page(df: DataFrame, key: str, cursor: int, limit: int) -> DataFrame:
     """A page after the cursor with ``has_more`` from one row of look-ahead; the limit is kept within 1 and 128."""
     limit = max(1, min(128, limit))

@@ -186,11 +186,10 @@ def trim_apply(spark, d):
     """Written pages that no later trim of their range removed."""
     n = F.col("n_nationkey").cast("long")
     trims = fx.raw(spark, d, "nation").select(
-        F.concat(F.lit("v"), (n % 3).cast("string")).alias("tv"), F.explode(F.sequence(n * 10, n * 10 + 5 + F.col("n_regionkey").cast("long"))).alias("tp"), (n * 100).alias("ts")
+        F.concat(F.lit("v"), (n % 3).cast("string")).alias("tv"), (n * 10).alias("tfirst"), (n * 10 + 5 + F.col("n_regionkey").cast("long")).alias("tlast"), (n * 100).alias("ts")
     )
-    latest = trims.groupBy("tv", "tp").agg(F.max("ts").alias("ts"))
     live = fx.write_log(spark, d).filter("op = 'write'").groupBy("volume_id", "page").agg(F.max("seq").alias("seq"))
-    return live.join(latest, (F.col("volume_id") == F.col("tv")) & (F.col("page") == F.col("tp")) & (F.col("ts") > F.col("seq")), "left_anti")
+    return op.after_trims(live, trims)
 
 
 @query(
