@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blockloom.operators import runs
@@ -132,11 +132,39 @@ def evict(candidates: DataFrame, heat: DataFrame, policy: str, limit: int) -> Da
     return joined.orderBy(*POLICIES[policy], "oid").limit(limit)
 
 
-def relocations(objects: DataFrame, volume: str, movable: Column, last: DataFrame) -> DataFrame:
-    """Moves (volume, oid, from, to): the highest movable object into the lowest free extent, while that is lower."""
+EXTENT_BLOCK = 1 << 16  # extents that one row of the free list's derivation stands for
+
+
+def relocations(objects: DataFrame, volume: str, movable: Column, last: DataFrame, width: int = runs.WIDTH) -> DataFrame:
+    """Moves (volume, oid, from, to): the highest movable object into the lowest free extent, while that is lower.
+
+    A move frees an extent above all objects that are still to move, so it never
+    becomes a target: pairing in order gives what moving one by one gives.  A
+    volume's extents are numbered in runs, not in one task.
+    """
     used = objects.filter("extent is not null")
-    every = last.select(volume, F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("to"))
+    block = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / EXTENT_BLOCK)))
+    blocks = last.filter("n > 0").select(volume, "n", block.alias("block")).repartition(volume, "block")
+    inside = F.sequence(F.col("block") * EXTENT_BLOCK + 1, F.least(F.col("n"), (F.col("block") + 1) * EXTENT_BLOCK))
+    every = blocks.select(volume, F.explode(inside).alias("to"))
     free = every.join(used.select(F.col(volume), F.col("extent").alias("to")), [volume, "to"], "left_anti")
-    free = free.withColumn("k", F.row_number().over(Window.partitionBy(volume).orderBy("to")))
-    moved = used.filter(movable).withColumn("k", F.row_number().over(Window.partitionBy(volume).orderBy(F.desc("extent"))))
+    one = F.lit(1).cast("long")
+    free = runs.running(free, [volume], ["to"], "k", one, F.sum, width)
+    moved = used.filter(movable).select(volume, "oid", "extent", (-F.col("extent")).alias("down"))
+    moved = runs.running(moved, [volume], ["down"], "k", one, F.sum, width)
     return moved.join(free, [volume, "k"]).filter(F.col("to") < F.col("extent")).select(volume, "oid", F.col("extent").alias("from_extent"), F.col("to").alias("to_extent"))
+
+
+STEP_WINDOW = 128  # objects that one eviction step looks at
+
+
+def evict_step(objects: DataFrame, eligible: Column, heat: DataFrame, policy: str, cursor: int, limit: int) -> DataFrame:
+    """(oid, last, frequency, not_sequential, next_cursor): what one step evicts of the ``STEP_WINDOW`` objects from the cursor on.
+
+    The next cursor is behind the window, or at the start where the window was
+    not full.  The window is by object id, whatever objects are eligible.
+    """
+    window = objects.filter(F.col("oid") >= cursor).orderBy("oid").limit(STEP_WINDOW)
+    size, last = window.agg(F.count(F.lit(1)), F.max("oid")).first()
+    after = last + 1 if size == STEP_WINDOW else 1
+    return evict(window.filter(eligible).select("oid"), heat, policy, limit).withColumn("next_cursor", F.lit(after).cast("long"))

@@ -333,6 +333,26 @@ for _name, _policy in (("evict_topk_lru", "lru"), ("evict_topk_lfu", "lfu"), ("e
     query(_name, fx.with_tables("objects read_log", f"WITH {CANDIDATES} SELECT * FROM c ORDER BY {', '.join(op.POLICIES[_policy])}, oid LIMIT 8"))(eviction(_policy))
 
 
+@query(
+    "evict_step",
+    fx.with_tables(
+        "objects read_log transfer",
+        f"""WITH {READS}, warm AS (SELECT disk * 600 + object * 6 + 1 AS oid, max(last) AS last, CAST(sum(frequency) AS BIGINT) AS frequency, arg_max(sequential, last) AS sequential FROM heat GROUP BY 1),
+        w AS (SELECT * FROM objects WHERE oid >= 601 ORDER BY oid LIMIT 128), n AS (SELECT CASE WHEN count(*) = 128 THEN max(oid) + 1 ELSE 1 END AS next_cursor FROM w)
+        SELECT w.oid, coalesce(last, 0) AS last, coalesce(frequency, 0) AS frequency, NOT coalesce(sequential, FALSE) AS not_sequential, CAST(next_cursor AS BIGINT) AS next_cursor FROM w JOIN n ON TRUE LEFT JOIN warm ON w.oid = warm.oid
+        LEFT JOIN transfer t ON w.oid = t.oid WHERE kind = 1 AND sealed AND NOT missing AND w.oid % 19 <> 0 AND w.oid % 53 <> 0 AND coalesce(transfer_state, '') <> 'uploading' ORDER BY frequency, last, w.oid LIMIT 8""",
+    ),
+)
+def evict_step(spark, d):
+    """One step of eviction by frequency from a cursor: pinned objects, tails and those being uploaded stay."""
+    warm = heat(spark, d).groupBy((F.col("disk") * 600 + F.col("object") * 6 + 1).alias("oid")).agg(
+        F.max("last").alias("last"), F.sum("frequency").alias("frequency"), F.max_by("sequential", "last").alias("sequential")
+    )
+    objects = fx.objects(spark, d).join(fx.transfer(spark, d), "oid", "left")
+    eligible = F.expr("kind = 1 and sealed and not missing and oid % 19 <> 0 and oid % 53 <> 0 and coalesce(transfer_state, '') <> 'uploading'")
+    return op.evict_step(objects, eligible, warm, "lfu", 601, 8)
+
+
 @query(
     "cache_trim",
     fx.with_tables("read_log", f"WITH {READS} SELECT disk, object, last, frequency * 262144 AS n_bytes, sum(frequency * 262144) OVER (PARTITION BY disk ORDER BY last DESC, object) <= 67108864 AS kept FROM heat"),

@@ -1,7 +1,8 @@
 """Partition tables of binary volume images, one image a row.
 
 Sector 0 holds a protective boot record; sector 1 a header that names where the
-entries are.  Header and entries carry CRC-32 sums; entries must not overlap.
+entries are.  Header and entries carry CRC-32 sums; entries must not overlap.  Where the
+image holds the second copy of header and entries, it must be sound and equal.
 """
 
 from __future__ import annotations
@@ -35,6 +36,14 @@ def read_entries(image: bytes) -> list[tuple[int, int, int, str | None]]:
     body = image[start * SECTOR : start * SECTOR + count * width]
     if width < 128 or len(body) != count * width or zlib.crc32(body) != entries_crc:
         return bad("entries sum")
+    second = struct.unpack_from("<Q", head, 32)[0]  # where the copy of the header is
+    if second > 1 and (second + 1) * SECTOR <= len(image):
+        copy = image[second * SECTOR : (second + 1) * SECTOR]
+        if copy[:8] != b"EFI PART" or zlib.crc32(copy[:16] + bytes(4) + copy[20:size]) != struct.unpack_from("<I", copy, 16)[0]:
+            return bad("backup header")
+        at, *same = struct.unpack_from("<QIII", copy, 72)
+        if same != [count, width, entries_crc] or copy[56:72] != head[56:72] or image[at * SECTOR : at * SECTOR + count * width] != body:
+            return bad("backup entries")
     found = []
     for k in range(count):
         entry = body[k * width : (k + 1) * width]

@@ -130,6 +130,24 @@ def test_partition_tables(spark):
     assert found[:2] == [(1, 0, 10, None), (1, 1, 20, None)] and found[2][3] == "overlap" and all(f[3] for f in found[2:])
 
 
+def test_second_copy_of_a_partition_table():
+    from blockloom.sources.partitions import read_entries
+
+    entries = (b"T" * 16 + b"U" * 16 + struct.pack("<QQ", 10, 19) + bytes(80)).ljust(4 * 128, b"\0")
+
+    def header(entries_at, other, guid=b"D"):
+        head = b"EFI PART" + struct.pack("<III", 65536, 92, 0) + bytes(4) + struct.pack("<QQ", 0, other) + bytes(16) + guid * 16 + struct.pack("<QIII", entries_at, 4, 128, zlib.crc32(entries))
+        return (head[:16] + struct.pack("<I", zlib.crc32(head)) + head[20:]).ljust(512, b"\0")
+
+    boot = bytes(446) + bytes([0, 0, 0, 0, 0xEE]) + bytes(59) + b"\x55\xaa"
+    good = boot + header(2, 4) + entries + entries + header(3, 1)
+    assert read_entries(good) == [(0, 10, 19, None)]
+    assert read_entries(good[:-500] + b"x" + good[-499:])[0][3] == "backup header"
+    assert read_entries(boot + header(2, 4) + entries + bytes(512) + header(3, 1))[0][3] == "backup entries"
+    assert read_entries(boot + header(2, 4) + entries + entries + header(3, 1, b"E"))[0][3] == "backup entries"
+    assert read_entries(good[: 4 * 512]) == [(0, 10, 19, None)]  # an image without the second copy
+
+
 def test_run_lists(spark):
     from blockloom.functions.runlists import parse, runs
 
