@@ -57,7 +57,7 @@ def brute_sizes(dictionaries, text):
     for d in dictionaries.values():
         raw, total = z.ZstdCompressionDict(d + langid.MARK, dict_type=z.DICT_TYPE_RAWCONTENT), 0
         for at in range(0, len(data), 2048):
-            params = z.ZstdCompressionParameters.from_level(langid.LEVEL, dict_size=1 << 17, source_size=2048 + len(langid.MARK), write_content_size=False, write_checksum=False, write_dict_id=False)
+            params = z.ZstdCompressionParameters.from_level(langid.LEVEL, search_log=langid.SEARCH_LOG, dict_size=1 << 17, source_size=2048 + len(langid.MARK), write_content_size=False, write_checksum=False, write_dict_id=False)
             total += len(z.ZstdCompressor(compression_params=params, dict_data=raw).compress(langid.MARK + data[at : at + 2048]))
         sizes.append(total)
     return sizes
