@@ -317,13 +317,31 @@ def similar_sets(candidates: DataFrame, shards: int, percent: int, scratch: Scra
     rows = rows.join(load, "coarse").withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
     whole = rows.select(F.struct("coarse", "chunk").alias("task"), F.lit(0).cast("long").alias("side"), "key", F.col("key").alias("label"), "members")
     links = scratch.save(joined(whole, percent), "links")
+    known = scratch.save(connected_components(links, scratch, "fine"), "known")
     if load.filter("chunks > 1").isEmpty():
-        return connected_components(links, scratch, "fine")
-    # The chunks of large groups: first one set for each component found so far, in chunks of their own ...
+        return known
+    # The sets of groups of several chunks, with their components so far.  A component is named by its least key.
     large = scratch.save(rows.filter("chunks > 1").select("coarse", "key", "members", "prefix"), "large")
+    labels = scratch.save(labelled(large.select("coarse", "key"), known).select("coarse", "key", "label"), "labels")
+
+    def merged(edges: DataFrame, name: str) -> DataFrame:
+        """The labels after linking the components of both ends of each edge."""
+        ends = [labels.select(F.col("key").alias(x), F.col("label").alias(f"{x}_label")) for x in ("a", "b")]
+        found = edges.join(ends[0], "a").join(ends[1], "b").select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))
+        found = connected_components(found, scratch, f"{name}-merge").withColumnsRenamed({"node": "label", "component": "merged"})
+        return scratch.save(labels.join(found, "label", "left").select("coarse", "key", F.coalesce("merged", "label").alias("label")), f"{name}-labels")
+
+    def unsettled(name: str) -> DataFrame:
+        """Groups that hold several components."""
+        ranges = labels.groupBy("coarse").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        return scratch.save(ranges.filter("low <> high").select("coarse"), name)
+
+    # First one set for each component, in chunks of their own, until that links no more ...
     for k in range(8):
-        known = scratch.save(connected_components(links, scratch, f"fine-{k}"), f"known-{k}")
-        heads = labelled(large, known).filter("key = label")
+        apart = unsettled(f"apart-{k}")
+        if apart.isEmpty():
+            break
+        heads = large.join(labels.filter("key = label").join(apart, "coarse", "left_semi").select("key", "label"), "key")
         n = heads.groupBy("coarse").agg(F.ceil(F.count(F.lit(1)) / CHUNK_SETS).cast("int").alias("parts"))
         heads = heads.join(n, "coarse").select(
             F.struct("coarse", F.pmod(F.xxhash64("key", F.lit(k)), F.col("parts")).cast("int").alias("chunk")).alias("task"), F.lit(0).cast("long").alias("side"), "key", "label", "members"
@@ -331,10 +349,19 @@ def similar_sets(candidates: DataFrame, shards: int, percent: int, scratch: Scra
         more = scratch.save(joined(heads, percent), f"heads-{k}")
         if more.isEmpty():
             break
-        links = scratch.save(links.union(more), f"links-{k}")
-    # ... then those pairs of chunks that share a prefix shingle of sets of different components: no others can be linked
-    known = scratch.save(connected_components(links, scratch, "fine-last"), "known-last")
-    at = labelled(large, known)
+        labels = merged(more, f"heads-{k}")
+    apart = unsettled("apart")
+    if not apart.isEmpty():
+        # ... then those pairs of chunks that share a prefix shingle of sets of different components: no others can be linked
+        at = large.join(labels.join(apart, "coarse", "left_semi").select("key", "label"), "key")
+        labels = merged(scratch.save(across_chunks(at, percent, scratch), "across"), "across")
+    settled = labels.select(F.col("key").alias("node"), F.col("label").alias("component"))
+    return known.join(settled.select("node"), "node", "left_anti").unionByName(settled)
+
+
+def across_chunks(at: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Edges (a, b) between sets (coarse, key, members, prefix, label) of different components."""
+    size = F.octet_length("members")
     n = at.groupBy("coarse", "label").agg(F.count(F.lit(1)).alias("sets"), F.sum(size).alias("bytes"))
     at = at.join(n, ["coarse", "label"]).withColumn(
         "pieces", F.greatest(F.ceil(F.col("sets") / CHUNK_SETS), F.ceil(F.col("bytes") / CHUNK_BYTES)).cast("int")
@@ -358,8 +385,7 @@ def similar_sets(candidates: DataFrame, shards: int, percent: int, scratch: Scra
     crossed = at.join(sides.select("task", F.col("s.side").cast("long").alias("side"), F.col("s.cid").alias("cid")), "cid").select("task", "side", "key", "label", "members")
     # a shared chunk also meets itself: there every set is a side of its own
     alone = at.filter("shared").select(F.struct(F.col("cid").alias("x"), F.col("cid").alias("y")).alias("task"), F.col("key").alias("side"), "key", "label", "members")
-    links = scratch.save(links.union(joined(crossed.unionByName(alone), percent, across=True)), "links-all")
-    return connected_components(links, scratch, "fine-all")
+    return joined(crossed.unionByName(alone), percent, across=True)
 
 
 def labelled(rows: DataFrame, known: DataFrame) -> DataFrame:
