@@ -21,7 +21,7 @@ LEAST_MARGIN = 0.0005  # relative excess of the second smallest size below which
 # Every dictionary ends with this mark and every chunk begins with it: it is one match in each language, which makes
 # the block worth compressing, so that even a few words show what they match.
 MARK = bytes(range(33, 65)) * 2
-LEVEL, SEARCH_LOG = 12, 3  # a level that matches three letters; 2 ** 3 candidates are looked at for each match
+LEVEL, SEARCH_LOG = 12, 1  # a level that matches three letters; two candidates are looked at for each match
 
 
 def plain(text: str) -> str:
