@@ -36,7 +36,7 @@ from blockloom.llm.common import Scratch, connected_components, quoted, text_sli
 from blockloom.llm.kneser_ney import MOST_MAPS, words_of
 
 MOST_SHARDS = 30_000
-CHUNK_SETS = 256
+CHUNK_SETS = 4096
 CHUNK_BYTES = 24_000_000
 UNCOUNTED = (1 << 32) - 1
 
